@@ -18,3 +18,9 @@ def join_by_size(facts: DataFrame, keyed: DataFrame, key: str, size: str, hot_ro
     hot = keyed.filter(F.col(size) > hot_rows).drop(size)
     cold = keyed.filter(F.col(size) <= hot_rows).drop(size)
     return facts.join(F.broadcast(hot), key).unionByName(facts.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """df over all cores, by hash of cols: for small inputs that a few file blocks hold but costly steps follow."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *cols)
