@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm import canonical, components
+from tidemill.llm import canonical, components, people
 from tidemill.plans.registry import Registry
 from tidemill.sources.tables import Tables
 
@@ -52,3 +52,15 @@ def p3_found(t: Tables) -> DataFrame:
     tags = canonical.map_rows(canonical.unresolved_tag_rows(t.dim_tag_taxonomy), t.ref_genre, "canonical_genre", canonical.TAG_WRAPPERS, False)
     named = lambda df, field: df.select(F.lit(field).alias("field"), "row_key", "canonical_value")
     return named(sources, "source").unionByName(named(tags, "tag_norm"))
+
+
+@R.query("p4_found")
+def p4_found(t: Tables) -> DataFrame:
+    """Each pair of records of the same person or firm, through the groups of variant spellings."""
+    return people.entity_pairs(people.entities(t.crm_leads, "crm_record_id"), "crm_record_id")
+
+
+@R.query("p4_entities")
+def p4_entities(t: Tables) -> DataFrame:
+    """Every record with its person or firm and its number of direct links."""
+    return people.entities(t.crm_leads, "crm_record_id")
