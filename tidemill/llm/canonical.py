@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import fold_marks
-from tidemill.operators.skew import join_by_size
+from tidemill.operators.skew import join_by_size, spread
+from tidemill.session import cut
 
 # Words put around a genre that don't belong to its name, and small words between its parts.
 TAG_WRAPPERS = ["modern", "female", "80s", "love", "best", "of", "classic", "classics", "pure", "instrumental", "old", "music", "4ever", "br", "n", "and", "e", "y", "und", "et"]
@@ -75,12 +76,11 @@ def reference_forms(reference: DataFrame, entry: str, subsets: bool) -> DataFram
     spelled = ordered.select("canonical", F.array_join("w", "").alias("form"), missing.alias("cost"), F.lit(False).alias("short"))
     shortened = ordered.select("canonical", F.explode(F.concat(*cut_one, bare_one, bare_all, initials)).alias("form"), (missing + 0.6).alias("cost"), F.lit(True).alias("short")).filter(F.length("form") >= 5)
     forms = spelled.union(shortened).filter(F.length("form") >= 3).groupBy("form", "canonical").agg(F.min(F.struct("cost", "short")).alias("best"))
-    alone = forms.groupBy("form").agg(F.min(F.struct("best.cost", "canonical", "best.short")).alias("a"), F.min("best.cost").alias("least"))
-    ties = forms.join(alone.select("form", "least"), "form").filter(F.col("best.cost") == F.col("least")).groupBy("form").agg(F.count("*").alias("equal"))
-    return (
-        alone.join(ties.filter("equal = 1"), "form")
-        .select(F.col("a.canonical").alias("canonical"), "form", F.when(F.col("a.short"), limit_for_short(F.length("form"))).otherwise(limit_for(F.length("form"))).alias("k"), F.col("a.cost").alias("cost"))
-    )
+    by_cost = Window.partitionBy("form").orderBy("best.cost", "canonical")
+    ranked = forms.select("form", "canonical", "best.cost", "best.short", F.row_number().over(by_cost).alias("rank"), F.lead("best.cost").over(by_cost).alias("next"))
+    limit = F.when(F.col("short"), limit_for_short(F.length("form"))).otherwise(limit_for(F.length("form")))
+    # The list is fixed and small, and its forms are asked for again and again: they are written once.
+    return cut(ranked.filter("rank = 1 AND (next IS NULL OR next > cost)").select("canonical", "form", limit.alias("k"), "cost"))
 
 
 def value_forms(values: DataFrame, wrappers: list[str], synonyms: dict[str, str]) -> DataFrame:
@@ -108,7 +108,8 @@ def map_values(values: DataFrame, reference: DataFrame, entry: str, wrappers: li
     cuts = forms.select("canonical", "form", "k", "cost", F.length("form").alias("L"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")).select(
         "canonical", "form", "k", "cost", "L", "i", F.expr("substring(form, (i * L) div (k + 1) + 1, ((i + 1) * L) div (k + 1) - (i * L) div (k + 1))").alias("segment")
     )
-    typed = value_forms(values.filter(F.col("value").isNotNull()).select("value").distinct(), wrappers, synonyms or {})
+    all_values = spread(values.filter(F.col("value").isNotNull()).select("value").distinct(), "value")
+    typed = value_forms(all_values, wrappers, synonyms or {})
     near = typed.withColumn("len", F.length("typed")).select("*", F.explode(F.sequence(F.greatest(F.lit(3), F.col("len") - 4), F.col("len") + 4)).alias("L"))
     asked = near.select("*", F.explode(F.array_distinct(F.array(limit_for(F.col("L")), limit_for_short(F.col("L"))))).alias("k")).filter("abs(len - L) <= k")
     asked = asked.select("*", F.explode(F.expr("sequence(0, k)")).alias("i")).select("*", F.explode(F.expr("sequence(-k, k)")).alias("shift"))
@@ -119,7 +120,7 @@ def map_values(values: DataFrame, reference: DataFrame, entry: str, wrappers: li
     near_enough = candidates.withColumn("edits", edits).filter("edits >= 0").withColumn("slips", slips(F.col("edits"), F.col("typed"), F.col("form"))).filter(F.col("slips") <= slips_for(F.length("form")))
     scored = near_enough.withColumn("score", F.col("slips") + F.col("cost") + F.col("vcost"))
     best = scored.groupBy("value").agg(F.min(F.struct("score", "canonical")).alias("b")).select("value", F.col("b.canonical").alias("canonical_value"), F.col("b.score").alias("score"))
-    all_values = values.filter(F.col("value").isNotNull()).select("value").distinct()
+    best = cut(best)
     unmatched = all_values.join(best, "value", "left_anti").select("value", F.lit("").alias("canonical_value"), F.lit(None).cast("double").alias("score"))
     return best.unionByName(unmatched)
 
@@ -130,7 +131,7 @@ def map_rows(rows: DataFrame, reference: DataFrame, entry: str, wrappers: list[s
     Each distinct text is mapped once; a text with a third of all rows is joined back by broadcast.
     """
     counted = rows.filter(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n"))
-    mapped = map_values(counted.select("value"), reference, entry, wrappers, subsets, synonyms).join(counted, "value")
+    mapped = cut(map_values(counted.select("value"), reference, entry, wrappers, subsets, synonyms).join(counted, "value"))
     return join_by_size(rows, mapped, "value", "n")
 
 
