@@ -24,3 +24,9 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     """df over all cores, by hash of cols: for small inputs that a few file blocks hold but costly steps follow."""
     spark = df.sparkSession
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *cols)
+
+
+def spread_few(df: DataFrame, *cols: str) -> DataFrame:
+    """spread(df) only where its scan has fewer parts than there are cores; a large table is left where it lies."""
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return spread(df, *cols) if few else df
