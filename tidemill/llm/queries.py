@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm import canonical, components, people
+from tidemill.llm import canonical, components, languages, leaks, linkage, mixing, people, survivors
 from tidemill.plans.registry import Registry
 from tidemill.sources.tables import Tables
 
@@ -64,3 +64,80 @@ def p4_found(t: Tables) -> DataFrame:
 def p4_entities(t: Tables) -> DataFrame:
     """Every record with its person or firm and its number of direct links."""
     return people.entities(t.crm_leads, "crm_record_id")
+
+
+def _duplicates(t: Tables) -> DataFrame:
+    tracks = survivors.claims_of(t.dim_track, "track_id", "track_name", "track_norm", "track_mbid")
+    return tracks.unionByName(survivors.claims_of(t.dim_album, "album_id", "album_name", "album_norm", "album_mbid"))
+
+
+_SURVIVORS = r"""
+WITH rows AS (
+    SELECT dup_group, track_id AS id, track_name AS name, track_norm AS keyed, track_mbid AS mbid, latest_scrobble_at AS t, scrobble_count AS n FROM dim_track
+    UNION ALL SELECT dup_group, album_id, album_name, album_norm, album_mbid, latest_scrobble_at, scrobble_count FROM dim_album),
+judged AS (
+    SELECT *, trim(coalesce(name, '')) <> '' AND lower(trim(name)) = lower(trim(keyed)) AS name_ok,
+           coalesce(regexp_full_match(mbid, '[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}') AND regexp_matches(mbid, '[1-9A-Fa-f]'), false) AS mbid_ok
+    FROM rows WHERE dup_group IS NOT NULL),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY dup_group, name_ok ORDER BY t DESC NULLS LAST, n DESC NULLS LAST, id) AS name_rank,
+           row_number() OVER (PARTITION BY dup_group, mbid_ok ORDER BY t DESC NULLS LAST, n DESC NULLS LAST, id) AS mbid_rank
+    FROM judged)
+SELECT dup_group, coalesce(max(id) FILTER (WHERE name_ok AND name_rank = 1), '') AS name_from, coalesce(max(id) FILTER (WHERE mbid_ok AND mbid_rank = 1), '') AS mbid_from
+FROM placed GROUP BY dup_group"""
+
+
+@R.query("p5_found", _SURVIVORS)
+def p5_found(t: Tables) -> DataFrame:
+    """From which row the surviving name and mbid of each group come."""
+    return survivors.survivors(_duplicates(t)).select("dup_group", "name_from", "mbid_from")
+
+
+@R.query("p5_true_values")
+def p5_true_values(t: Tables) -> DataFrame:
+    """Every name and mbid of a group with the probability that it is a true value of it."""
+    return survivors.true_values(_duplicates(t)).select("dup_group", "id", "name", "mbid", "name_posterior", "mbid_posterior", "name_true", "mbid_true")
+
+
+@R.query("p6_found")
+def p6_found(t: Tables) -> DataFrame:
+    """Pairs of records that describe the same enquiry."""
+    return linkage.match_records(t.crm_leads, t.marketing_leads).select("crm_record_id", "marketing_record_id")
+
+
+@R.query("p6_matches")
+def p6_matches(t: Tables) -> DataFrame:
+    """Matches with their confidence."""
+    return linkage.match_records(t.crm_leads, t.marketing_leads)
+
+
+@R.query("p8_found")
+def p8_found(t: Tables) -> DataFrame:
+    """Documents that hold more than half of an item in one stretch."""
+    return leaks.find_leaks(t.documents, "doc_id", "text", t.eval_items, "item_id", "text").select("doc_id", "item_id")
+
+
+@R.query("p9_mixture")
+def p9_mixture(t: Tables) -> DataFrame:
+    """Documents of the mixture and how often each is taken."""
+    return mixing.mixture(t.documents, "doc_id", "text", "source", t.mix_targets)
+
+
+@R.query("p9_shares")
+def p9_shares(t: Tables) -> DataFrame:
+    """Target and actual share of each source."""
+    return mixing.shares(mixing.mixture(t.documents, "doc_id", "text", "source", t.mix_targets), t.mix_targets)
+
+
+@R.query("p10_found")
+def p10_found(t: Tables) -> DataFrame:
+    """Languages of documents that are labelled wrongly or not at all, or that mix languages."""
+    net = languages.train(languages.labelled_sample(t.documents, "doc_id", "text", "lang"))
+    return languages.wrong_labels(t.documents, languages.document_segments(t.documents, "doc_id", "text", net), "doc_id", "lang")
+
+
+@R.query("p10_segments")
+def p10_segments(t: Tables) -> DataFrame:
+    """Every document's segments with language and confidence; a document of one language has one."""
+    net = languages.train(languages.labelled_sample(t.documents, "doc_id", "text", "lang"))
+    return languages.document_segments(t.documents, "doc_id", "text", net)
