@@ -71,7 +71,7 @@ def leontief_inverse(a: DataFrame, codes: list[str]) -> DataFrame:
 
     if len(codes) > 4000:
         raise ValueError("too many sectors for one task: use leontief_series")
-    return a.select("i", "j", "x").groupBy(F.lit(1)).applyInPandas(invert, "i string, j string, x double")
+    return a.select("i", "j", "x", F.lit(1).alias("one")).groupBy("one").applyInPandas(invert, "i string, j string, x double")
 
 
 def linkages(leontief: DataFrame, codes: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def year_range(df: DataFrame, year: str) -> DataFrame:
 
 def month_range(df: DataFrame, month: str) -> DataFrame:
     """All first days of months from the first to the last."""
-    return df.agg(F.min(month).alias("a"), F.max(month).alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).cast("date").alias(month))
+    return df.agg(F.min(month).alias("a"), F.max(month).alias("b")).select(F.explode(F.sequence(F.col("a").cast("date"), F.col("b").cast("date"), F.expr("interval 1 month"))).alias(month))
 
 
 def runs(df: DataFrame, keys: list[str], n: str) -> DataFrame:

@@ -16,7 +16,7 @@ TERMS = 6
 _FLOWS = """WITH flows AS (
     SELECT s.s_nationkey || '' AS i, c.c_nationkey || '' AS j, sum(l_extendedprice) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey GROUP BY ALL),
 codes AS (SELECT n_nationkey || '' AS i FROM nation),
-outs AS (SELECT j, 2 * sum(x) AS o FROM flows GROUP BY j),
+outs AS (SELECT c.j, c.x + r.x AS o FROM (SELECT j, sum(x) AS x FROM flows GROUP BY j) c JOIN (SELECT i, sum(x) AS x FROM flows GROUP BY i) r ON c.j = r.i),
 a1 AS (SELECT i, j, x / o AS x FROM flows JOIN outs USING (j))"""
 _POWERS = "".join(f",\na{k} AS (SELECT p.i, q.j, sum(p.x * q.x) AS x FROM a{k - 1} p JOIN a1 q ON p.j = q.i GROUP BY ALL)" for k in range(2, TERMS + 1))
 _LEONTIEF = _FLOWS + _POWERS + ",\nl AS (SELECT i, j, sum(x) AS x FROM (SELECT i, i AS j, 1.0::DOUBLE AS x FROM codes" + "".join(f" UNION ALL SELECT i, j, x FROM a{k}" for k in range(1, TERMS + 1)) + ") GROUP BY ALL)"
@@ -37,8 +37,10 @@ def codes(t: Tables) -> DataFrame:
 
 
 def coefficients(t: Tables) -> DataFrame:
-    """A."""
-    return M.technical_coefficients(flows(t))
+    """A; the output of a nation is what it buys and what it sells."""
+    cells = flows(t)
+    output = cells.select(F.explode(F.array("i", "j")).alias("j"), "x").groupBy("j").agg(F.sum("x").alias("x"))
+    return M.technical_coefficients(cells, output)
 
 
 def leontief(t: Tables) -> DataFrame:

@@ -163,7 +163,7 @@ def rank_window(t: Tables) -> DataFrame:
 @R.query("weekday_hour_matrix", f"{_P} SELECT weekday_iso, " + ", ".join(f"count(*) FILTER (listening_hour = {h}) AS h{h}" for h in range(24)) + " FROM plays GROUP BY 1")
 def weekday_hour_matrix(t: Tables) -> DataFrame:
     """R21, C07."""
-    return A.plays(t).groupBy("weekday_iso").pivot("listening_hour", list(range(24))).agg(F.count("*")).na.fill(0).withColumnsRenamed({str(h): f"h{h}" for h in range(24)})
+    return A.plays(t).groupBy("weekday_iso").pivot("listening_hour", list(range(24))).agg(F.count(F.lit(1))).na.fill(0).withColumnsRenamed({str(h): f"h{h}" for h in range(24)})
 
 
 @R.query("metrics_long", f"{_P}, o AS (SELECT count(*) AS plays, count(DISTINCT artist_id) AS artists, count(DISTINCT track_id) AS tracks FROM plays) UNPIVOT o ON plays, artists, tracks INTO NAME metric VALUE value")
