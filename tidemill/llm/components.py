@@ -54,6 +54,7 @@ def archive_links(match_pairs: DataFrame, membership: DataFrame) -> DataFrame:
     node = lambda system, c: F.concat(F.lower(system), F.lit(":"), F.nullif(_plain(c), F.lit("")))
     accepted = F.lower(_plain("review_status")).isin("auto_match", "confirmed")
     both = match_pairs.select(node(F.lit("crm"), "crm_record_id").alias("src"), node(F.lit("marketing"), "marketing_record_id").alias("dst"), accepted.alias("ok"))
+    both = both.withColumn("ok", F.col("ok") & F.col("src").isNotNull() & F.col("dst").isNotNull())
     linked = both.filter("ok").select("src", "dst")
     lone = both.filter("NOT coalesce(ok, false)").select(F.explode(F.array("src", "dst")).alias("src")).select("src", F.col("src").alias("dst"))
     member = node(F.nullif(_plain("system"), F.lit("")), "record_id")

@@ -58,7 +58,8 @@ def sainte_lague(weights: list[float], seats: int, caps: list[int] | None = None
     for _ in range(200):
         mid = (low + high) / 2
         low, high = (mid, high) if at(mid).sum() > seats else (low, mid)
-    given = at(high)
+    # A little beyond the divisor, so that no quotient on the edge is rounded into it; the heap gives out the few seats left.
+    given = at(high * (1 + 1e-9))
     heap = [(-w[i] / (2 * given[i] + 1), i) for i in np.flatnonzero(able) if given[i] < cap[i]]
     heapq.heapify(heap)
     for _ in range(int(seats - given.sum())):

@@ -10,22 +10,18 @@ from pyspark.sql import functions as F
 STAND_INS = r"^(untitled|unknown|none|null|nil|n a|na|no (album|title|name|track)|non album tracks?|singles?|various|misc|test|tba|tbd|untitled (track|album)|unknown (track|album|title)|(track|faixa|pista|piste|titel|title|disc|disco|cd|side|song) ?\d+|\d{1,2})?$"
 # Traces of text that was decoded wrongly.
 GARBLED = "�|[\u0080-\u009f]|Ã[\u0080-¿]|Â[\u0080-¿]|â[\u0080-¿€]|&#\\d+;"
+#: Prior of sensitivities and its weight as a share of all rows.
+TRUST, PRIOR_SHARE = 0.99, 1.0
 CUT_SHORT = r"(…|\.\.+|\([^)]*|\[[^\]]*)\s*$"
 MBID = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
 
 
 def name_witnesses(name: Column, keyed: Column) -> list[Column]:
-    """What each witness says of a name: 1 it holds, 0 it doesn't, -1 no word. A blank name is denied by all."""
+    """What each witness says of a name: 1 it holds, 0 it doesn't, -1 no word."""
     text = F.coalesce(name, F.lit(""))
     plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    says = lambda c: F.when(F.trim(text) == "", 0).otherwise(c.cast("int"))
-    return [
-        F.when(F.trim(F.coalesce(keyed, F.lit(""))) == "", F.when(F.trim(text) == "", 0).otherwise(-1)).otherwise((F.lower(F.trim(text)) == F.lower(F.trim(keyed))).cast("int")),
-        says(~text.rlike(GARBLED)),
-        says(~text.rlike(CUT_SHORT)),
-        says(~plain.rlike(STAND_INS)),
-        says(text.rlike(r"\p{L}.*\p{L}")),
-    ]
+    agrees = (F.lower(F.trim(text)) == F.lower(F.trim(keyed))).cast("int")
+    return [F.when(F.trim(F.coalesce(keyed, F.lit(""))) == "", -1).otherwise(agrees), *[c.cast("int") for c in (~text.rlike(GARBLED), ~text.rlike(CUT_SHORT), ~plain.rlike(STAND_INS), text.rlike(r"\p{L}.*\p{L}"))]]
 
 
 def mbid_witnesses(mbid: Column) -> list[Column]:
@@ -37,9 +33,11 @@ def mbid_witnesses(mbid: Column) -> list[Column]:
 def fit_witnesses(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expectation-maximisation over vote patterns: (posterior of each pattern, sensitivity and specificity of each witness).
 
-    votes: patterns x witnesses of 1, 0 or -1 (no word); counts: rows with each pattern. Start: witnesses are right nine times in ten.
+    votes: patterns x witnesses of 1, 0 or -1 (no word); counts: rows with each pattern. Start: what any witness denies is false.
+    A witness may look for one fault only, so its specificity is left open, but a true value is seldom denied: sensitivities have a prior
+    of TRUST with the weight of PRIOR_SHARE of the rows. Without it, the two classes could be any two kinds of rows that differ much.
     """
-    sens, spec, prior = np.full(votes.shape[1], 0.9), np.full(votes.shape[1], 0.9), 0.8
+    sens, spec, prior = np.full(votes.shape[1], TRUST), np.full(votes.shape[1], 0.5), 0.7
     posterior = np.zeros(len(votes))
     for _ in range(rounds):
         yes, no = votes == 1, votes == 0
@@ -48,7 +46,8 @@ def fit_witnesses(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> t
         new = 1 / (1 + np.exp(np.clip(false - true, -500, 500)))
         # One row of either kind is added to each estimate, so none becomes 0 or 1.
         t, f = new * counts, (1 - new) * counts
-        sens = ((t @ yes) + 1) / ((t @ (yes | no)) + 2)
+        weight = PRIOR_SHARE * counts.sum() + 1
+        sens = ((t @ yes) + TRUST * weight) / ((t @ (yes | no)) + weight)
         spec = ((f @ no) + 1) / ((f @ (yes | no)) + 2)
         prior = (t.sum() + 1) / (counts.sum() + 2)
         if np.abs(new - posterior).max(initial=0) < 1e-9:
@@ -57,18 +56,18 @@ def fit_witnesses(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> t
     return posterior, sens, spec
 
 
-def judged(claims: DataFrame, witnesses: list[Column]) -> DataFrame:
-    """claims with `posterior`, the probability that the value is a true one.
+def judged(claims: DataFrame, value: str, witnesses: list[Column]) -> DataFrame:
+    """claims with `posterior`, the probability that the value is a true one; a missing or blank value claims nothing and has 0.
 
     Only the counts of vote patterns reach the driver: 3^n at most for n witnesses, whatever the number of claims.
     """
-    voted = claims.withColumn("_votes", F.concat_ws(",", *[w.cast("string") for w in witnesses]))
-    patterns = voted.groupBy("_votes").count().collect()
+    voted = claims.withColumn("_votes", F.when(F.trim(F.col(value)) != "", F.concat_ws(",", *[w.cast("string") for w in witnesses])))
+    patterns = voted.filter(F.col("_votes").isNotNull()).groupBy("_votes").count().collect()
     if not patterns:
-        return claims.withColumn("posterior", F.lit(None).cast("double"))
+        return claims.withColumn("posterior", F.lit(0.0))
     posterior, _, _ = fit_witnesses(np.array([[int(v) for v in p["_votes"].split(",")] for p in patterns]), np.array([p["count"] for p in patterns], float))
     table = F.create_map(*[F.lit(x) for p, q in zip(patterns, posterior) for x in (p["_votes"], float(q))])
-    return voted.withColumn("posterior", table[F.col("_votes")]).drop("_votes")
+    return voted.withColumn("posterior", F.coalesce(table[F.col("_votes")], F.lit(0.0))).drop("_votes")
 
 
 def claims_of(df: DataFrame, record_id: str, name: str, keyed: str, mbid: str) -> DataFrame:
@@ -83,8 +82,8 @@ def true_values(claims: DataFrame, least: float = 0.5) -> DataFrame:
 
     A field may keep several values: all that are judged true. An mbid must also have the shape of one, the exact check.
     """
-    named = judged(claims, name_witnesses(F.col("name"), F.col("keyed"))).withColumnRenamed("posterior", "name_posterior")
-    both = judged(named, mbid_witnesses(F.col("mbid"))).withColumnRenamed("posterior", "mbid_posterior")
+    named = judged(claims, "name", name_witnesses(F.col("name"), F.col("keyed"))).withColumnRenamed("posterior", "name_posterior")
+    both = judged(named, "mbid", mbid_witnesses(F.col("mbid"))).withColumnRenamed("posterior", "mbid_posterior")
     shaped = F.coalesce(F.col("mbid").rlike(MBID) & F.col("mbid").rlike("[1-9A-Fa-f]"), F.lit(False))
     return both.withColumn("name_true", F.col("name_posterior") > least).withColumn("mbid_true", (F.col("mbid_posterior") > least) & shaped)
 
