@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ LANGUAGES = ["en", "pt", "es", "fr", "de"]
 #: Bytes of a window, bytes of a letter's vector, filter widths and filters of each width.
 LENGTH, DEPTH, WIDTHS, FILTERS = 128, 12, (2, 3, 4, 5), 32
 #: Labelled documents of each language that the network is trained on, at most; rounds of training.
-SAMPLE, EPOCHS = 120, 5
+SAMPLE, EPOCHS = 300, 4
 #: Letters a sentence must have to count, and the confidence at which it does.
 LETTERS, SURE = 20, 0.9
 
@@ -28,15 +29,31 @@ def label_language(c: Column) -> Column:
     return F.when(first.isin(LANGUAGES), first)
 
 
-def sentences(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, cleaned text) of the sentences of a text; tags, entities and addresses are blanked out."""
+# Short forms whose dot ends no sentence.
+SHORT_FORM = re.compile(r"\b(?:pt|mr|mrs|ms|dr|sr|sra|vol|st|feat)\.\s*$", re.IGNORECASE)
+
+
+def phrase_pattern(phrases: list[str]) -> re.Pattern | None:
+    """A pattern of phrases that are of no language, such as tags, as they are or without marks of letters."""
+    plain = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+    every = sorted({y for x in phrases for y in (x.lower(), plain(x.lower())) if y.strip()}, key=lambda x: (-len(x), x))
+    return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, every)) + r")(?!\w)", re.IGNORECASE) if every else None
+
+
+def sentences(text: str | None, blanked: re.Pattern | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, cleaned text) of the sentences of a text; tags, entities, addresses, quoted titles and what `blanked` fits are blanked out."""
     if not text:
         return []
     found, at = [], 0
     for end in [m.end() for m in re.finditer(r"[.!?…]+[\"'”’»*)\]]*(?=\s)|\n+", text)] + [len(text)]:
         part = text[at:end]
+        if end < len(text) and SHORT_FORM.search(part):
+            continue
         clean = re.sub(r"<[^<>]{0,200}>|https?://\S+|www\.\S+", " ", html.unescape(part))
-        clean = re.sub(r"\s+", " ", clean).strip().lower()
+        if blanked:
+            clean = blanked.sub(" ", clean)
+        untitled = re.sub(r"“[^“”]{1,60}”|\"[^\"]{1,60}\"|«[^«»]{1,60}»|\*[^*]{1,60}\*", " ", clean)
+        clean = re.sub(r"\s+", " ", untitled if any(ch.isalpha() for ch in untitled) else clean).strip().lower()
         if any(ch.isalpha() for ch in clean):
             found.append((at, end, clean))
         at = end
@@ -148,9 +165,9 @@ def labelled_sample(documents: DataFrame, doc_id: str, text: str, lang: str, sam
     return taken.toPandas().sort_values("id").groupby("language").head(sample)[["text", "language"]]
 
 
-def train(sample: pd.DataFrame) -> ByteNet | None:
+def train(sample: pd.DataFrame, blanked: re.Pattern | None = None) -> ByteNet | None:
     """A network fitted to the sentences of the sample, in two passes: the second leaves out sentences that the first is sure are labelled wrongly."""
-    pairs = [(s, LANGUAGES.index(r.language)) for r in sample.itertuples() for _, _, s in sentences(r.text) if sum(map(str.isalpha, s)) >= LETTERS]
+    pairs = [(s, LANGUAGES.index(r.language)) for r in sample.itertuples() for _, _, s in sentences(r.text, blanked) if sum(map(str.isalpha, s)) >= LETTERS]
     if not pairs:
         return None
     x, owners = windows([s for s, _ in pairs])
@@ -164,11 +181,11 @@ def train(sample: pd.DataFrame) -> ByteNet | None:
     return net
 
 
-def _classified(net: ByteNet):
+def _classified(net: ByteNet, blanked: re.Pattern | None = None):
     """(document, start, end, letters, log probabilities) of the sentences of a list of texts."""
 
     def run(texts: list) -> tuple[list, np.ndarray]:
-        found = [(k, a, b, sum(map(str.isalpha, s)), s) for k, t in enumerate(texts) for a, b, s in sentences(t)]
+        found = [(k, a, b, sum(map(str.isalpha, s)), s) for k, t in enumerate(texts) for a, b, s in sentences(t, blanked)]
         x, owners = windows([f[4] for f in found])
         logs = net.log_probabilities(x)
         total = np.zeros((len(found), len(LANGUAGES)), np.float64)
@@ -180,12 +197,12 @@ def _classified(net: ByteNet):
     return run
 
 
-def document_segments(documents: DataFrame, doc_id: str, text: str, net: ByteNet | None) -> DataFrame:
+def document_segments(documents: DataFrame, doc_id: str, text: str, net: ByteNet | None, blanked: re.Pattern | None = None) -> DataFrame:
     """(doc_id, segment, start_char, end_char, language, confidence): runs of sentences of one language, in order.
 
-    A sentence of fewer than LETTERS letters, or one the network isn't sure of, joins the segment before it (at the start, the one behind it); where no
-    sentence of a document is sure, all form one segment of the likeliest language. Confidence is the mean over the segment's letters. Documents without
-    letters have no segment. Whole texts are read; sentences longer than a window are read in several.
+    A sentence the network isn't sure of has the likeliest of the languages it is sure of elsewhere in the document; one of fewer than LETTERS letters
+    joins the segment before it (at the start, the one behind it). Where no sentence of a document is sure, all form one segment of the likeliest language. Confidence is the mean over the segment's letters. Documents without
+    letters have no segment; phrases that `blanked` fits count for none. Whole texts are read; sentences longer than a window are read in several.
     """
     kinds = f"doc_id {dict(documents.dtypes)[doc_id]}, segment int, start_char int, end_char int, language string, confidence double, letters int"
     rows = spread_few(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isNotNull()), "doc_id")
@@ -193,7 +210,7 @@ def document_segments(documents: DataFrame, doc_id: str, text: str, net: ByteNet
         return rows.sparkSession.createDataFrame([], kinds).withColumnRenamed("doc_id", doc_id)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classify = _classified(net)
+        classify = _classified(net, blanked)
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
@@ -212,7 +229,9 @@ def _segments(ids: list, found: list, p: np.ndarray) -> list[tuple]:
         best = p[k:end].argmax(1)
         sure = (p[k:end].max(1) >= SURE) & (letters >= LETTERS)
         if sure.any():
-            names = np.where(sure, best, -1)
+            spoken = np.unique(best[sure])
+            likely = spoken[p[k:end][:, spoken].argmax(1)]
+            names = np.where(sure, best, np.where(letters >= LETTERS, likely, -1))
             for i in range(1, len(names)):
                 names[i] = names[i - 1] if names[i] < 0 else names[i]
             names[names < 0] = names[names >= 0][0]

@@ -129,15 +129,20 @@ def p9_shares(t: Tables) -> DataFrame:
     return mixing.shares(mixing.mixture(t.documents, "doc_id", "text", "source", t.mix_targets), t.mix_targets)
 
 
+def _segments(t: Tables) -> DataFrame:
+    # Genre tags count for no language; the list is fixed and short.
+    tags = languages.phrase_pattern([r["canonical_genre"] for r in t.ref_genre.select("canonical_genre").limit(1000).collect() if r["canonical_genre"]])
+    net = languages.train(languages.labelled_sample(t.documents, "doc_id", "text", "lang"), tags)
+    return languages.document_segments(t.documents, "doc_id", "text", net, tags)
+
+
 @R.query("p10_found")
 def p10_found(t: Tables) -> DataFrame:
     """Languages of documents that are labelled wrongly or not at all, or that mix languages."""
-    net = languages.train(languages.labelled_sample(t.documents, "doc_id", "text", "lang"))
-    return languages.wrong_labels(t.documents, languages.document_segments(t.documents, "doc_id", "text", net), "doc_id", "lang")
+    return languages.wrong_labels(t.documents, _segments(t), "doc_id", "lang")
 
 
 @R.query("p10_segments")
 def p10_segments(t: Tables) -> DataFrame:
     """Every document's segments with language and confidence; a document of one language has one."""
-    net = languages.train(languages.labelled_sample(t.documents, "doc_id", "text", "lang"))
-    return languages.document_segments(t.documents, "doc_id", "text", net)
+    return _segments(t)
