@@ -27,7 +27,7 @@ def net():
     rows_ = [(s, lang) for lang in PARTS for s in sentences_of(lang, False)]
     # One label of twenty is wrong.
     rows_ = [(s, "en" if k % 20 == 7 else lang) for k, (s, lang) in enumerate(rows_)]
-    return L.train(pd.DataFrame(rows_ * 4, columns=["text", "language"]))
+    return L.train(pd.DataFrame(rows_ * 8, columns=["text", "language"]))
 
 
 def test_held_out_accuracy(net):
