@@ -131,7 +131,7 @@ def top_impacts(t: Tables) -> DataFrame:
     return M.shock(leontief(t), deltas(t)).withColumn("rank", best).filter("rank <= 8").select("scenario", "i", rounded(F.col("total"), 2).alias("total"), "rank")
 
 
-@R.query("coefficients_wide")
+@R.query("coefficients_wide", f"{_FLOWS} SELECT i, " + ", ".join(f"coalesce(sum({_R6('x')}) FILTER (j = '{k}'), 0) AS n{k}" for k in range(25)) + " FROM a1 GROUP BY i")
 def coefficients_wide(t: Tables) -> DataFrame:
     """A with one column per nation."""
     names = sorted((r["i"] for r in codes(t).collect()), key=int)

@@ -240,11 +240,17 @@ def genre_season_year(t: Tables) -> DataFrame:
     return _six(W.genre_season_years(A.plays(t), weights(t)), *_SY_FLOATS).drop("genre_rank_in_season_year")
 
 
-@R.query("season_year_top_genres")
+_TOP_GENRES = _SEASON_YEARS + """, placed AS (SELECT DISTINCT season_year, canonical_genre, season_year_genre_weighted_scrobbles AS w FROM season_years WHERE is_full_season_year),
+ranked AS (SELECT season_year, canonical_genre, w, row_number() OVER (PARTITION BY season_year ORDER BY w DESC, canonical_genre) AS genre_rank_in_season_year FROM placed)
+SELECT season_year, canonical_genre, genre_rank_in_season_year, floor(max(season_share) FILTER (season_order = 1) * 1e6 + 0.5) / 1e6 AS summer, floor(max(season_share) FILTER (season_order = 2) * 1e6 + 0.5) / 1e6 AS autumn, floor(max(season_share) FILTER (season_order = 3) * 1e6 + 0.5) / 1e6 AS winter, floor(max(season_share) FILTER (season_order = 4) * 1e6 + 0.5) / 1e6 AS spring
+FROM ranked JOIN season_years USING (season_year, canonical_genre) WHERE genre_rank_in_season_year <= 10 AND w >= 25 GROUP BY ALL"""
+
+
+@R.query("season_year_top_genres", _TOP_GENRES)
 def season_year_top_genres(t: Tables) -> DataFrame:
     """The ten best ranked genres of whole season-years with enough support, by season."""
     whole = W.genre_season_years(A.plays(t), weights(t)).filter("is_full_season_year AND genre_rank_in_season_year <= 10 AND season_year_genre_weighted_scrobbles >= 25")
-    return whole.groupBy("season_year", "canonical_genre", "genre_rank_in_season_year").pivot("season_order", [1, 2, 3, 4]).agg(F.first("season_share")).withColumnsRenamed({"1": "summer", "2": "autumn", "3": "winter", "4": "spring"})
+    return whole.groupBy("season_year", "canonical_genre", "genre_rank_in_season_year").pivot("season_order", [1, 2, 3, 4]).agg(rounded(F.first("season_share"))).withColumnsRenamed({"1": "summer", "2": "autumn", "3": "winter", "4": "spring"})
 
 
 _LIFE = f"""{_PLAYS}, monthly AS (SELECT artist_id, CAST(date_trunc('month', listening_date) AS DATE) AS month_start, count(*) AS n FROM plays GROUP BY ALL),

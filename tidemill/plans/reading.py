@@ -31,10 +31,16 @@ def artists_top_other(t: Tables) -> DataFrame:
     return V.with_other(artist_year_counts(t), "listening_year", "artist_id", "n", 10).withColumn("share", rounded(F.col("share")))
 
 
-@R.query("genres_top_other")
+_GENRES_OTHER = L._GENRE("CAST(listening_year AS INTEGER)", "listening_year") + """, best AS (SELECT canonical_genre FROM genre_periods GROUP BY 1 ORDER BY sum(weighted_scrobbles) DESC, canonical_genre LIMIT 10),
+shown AS (SELECT listening_year_ AS listening_year, CASE WHEN canonical_genre IN (SELECT canonical_genre FROM best) THEN canonical_genre ELSE 'Other' END AS canonical_genre, sum(weighted_scrobbles) AS w FROM genre_periods GROUP BY ALL)
+SELECT listening_year, canonical_genre, floor(w * 1e6 + 0.5) / 1e6 AS weighted_scrobbles, floor(w / sum(w) OVER (PARTITION BY listening_year) * 1e6 + 0.5) / 1e6 AS share FROM shown"""
+
+
+@R.query("genres_top_other", _GENRES_OTHER)
 def genres_top_other(t: Tables) -> DataFrame:
     """R01 over weighted genres."""
-    return V.with_other(W.genre_by(A.plays(t), L.weights(t), F.col("listening_year"), "listening_year").select("listening_year", "canonical_genre", "weighted_scrobbles"), "listening_year", "canonical_genre", "weighted_scrobbles", 10)
+    shown = V.with_other(W.genre_by(A.plays(t), L.weights(t), F.col("listening_year"), "listening_year").select("listening_year", "canonical_genre", "weighted_scrobbles"), "listening_year", "canonical_genre", "weighted_scrobbles", 10)
+    return shown.withColumns({"weighted_scrobbles": rounded(F.col("weighted_scrobbles")), "share": rounded(F.col("share"))})
 
 
 @R.query("artist_year_heatmap", f"{_YEARS}, span AS (SELECT unnest(generate_series(min(listening_year), max(listening_year))) AS listening_year FROM years) SELECT artist_id, CAST(span.listening_year AS INTEGER) AS listening_year, coalesce(n, 0) AS n FROM top CROSS JOIN span LEFT JOIN years USING (artist_id, listening_year)")
@@ -44,7 +50,7 @@ def artist_year_heatmap(t: Tables) -> DataFrame:
     return V.dense(counts, V.top_names(counts, "artist_id", "n", 10), V.year_range(counts, "listening_year"), ["artist_id", "listening_year"], ["n"])
 
 
-@R.query("artist_year_pivot")
+@R.query("artist_year_pivot", f"{_YEARS}, placed AS (SELECT artist_id, row_number() OVER (ORDER BY sum(n) DESC, artist_id) AS rank FROM years GROUP BY 1) SELECT listening_year, " + ", ".join(f"CAST(sum(n) FILTER (rank = {k}) AS BIGINT) AS artist_{k}" for k in range(1, 6)) + " FROM years JOIN placed USING (artist_id) WHERE rank <= 5 GROUP BY 1")
 def artist_year_pivot(t: Tables) -> DataFrame:
     """Years as rows, the five top artists as columns by rank."""
     counts = artist_year_counts(t)
