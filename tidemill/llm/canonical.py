@@ -58,7 +58,9 @@ def reference_forms(reference: DataFrame, entry: str, subsets: bool) -> DataFram
     def cut_to(letters: int) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda p: F.array_join(F.transform("w", lambda x, i: F.when(i == p, F.substring(x, 1, letters)).otherwise(x)), ""))
 
-    base = reference.filter(F.col(entry).isNotNull()).select(F.col(entry).alias("canonical"), tokens(F.col(entry)).alias("w")).filter(F.size("w") > 0)
+    # Words joined by a hyphen are also taken as one, as they are when abbreviated.
+    whole = F.filter(F.transform(F.split(fold_marks(F.col(entry)), r"\s+"), lambda x: F.regexp_replace(x, "[^a-z0-9]", "")), lambda x: x != "")
+    base = reference.filter(F.col(entry).isNotNull()).select(F.col(entry).alias("canonical"), F.explode(F.array_distinct(F.array(tokens(F.col(entry)), whole))).alias("w")).filter(F.size("w") > 0)
     n = F.size("w")
     masks = F.sequence(F.lit(1), (F.pow(F.lit(2), n) - 1).cast("int")) if subsets else F.array((F.pow(F.lit(2), n) - 1).cast("int"))
     chosen = base.select("canonical", n.alias("n"), "w", F.explode(masks).alias("mask")).select(
@@ -86,8 +88,8 @@ def reference_forms(reference: DataFrame, entry: str, subsets: bool) -> DataFram
 def value_forms(values: DataFrame, wrappers: list[str], synonyms: dict[str, str]) -> DataFrame:
     """(value, typed, vcost): the words of a value run together, as they are, without wrapping words and numbers, and with synonyms put in."""
     words = values.select("value", tokens(F.col("value")).alias("w"))
-    long_ones = F.array(*[F.lit(x) for x in wrappers if len(x) >= 5])
-    is_wrapper = lambda x: x.isin(wrappers) | x.rlike("^[0-9]+$") | ((F.length(x) >= 5) & F.exists(long_ones, lambda s: F.levenshtein(x, s) <= F.when(F.length(s) >= 6, 2).otherwise(1)))
+    long_ones = F.array(*[F.lit(x) for x in wrappers if len(x) >= 4]).cast("array<string>")
+    is_wrapper = lambda x: x.isin(wrappers) | x.rlike("^[0-9]+$") | ((F.length(x) >= 4) & F.exists(long_ones, lambda s: F.levenshtein(x, s) <= F.when(F.length(s) >= 6, 2).otherwise(1)))
     stripped = F.filter("w", lambda x: ~is_wrapper(x))
     swaps = F.create_map(*[F.lit(x) for pair in (synonyms or {"": ""}).items() for x in pair])
     swapped = F.transform(stripped, lambda x: F.coalesce(swaps[x], x))
