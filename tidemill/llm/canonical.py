@@ -110,8 +110,9 @@ def map_values(values: DataFrame, reference: DataFrame, entry: str, wrappers: li
     cuts = forms.select("canonical", "form", "k", "cost", F.length("form").alias("L"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")).select(
         "canonical", "form", "k", "cost", "L", "i", F.expr("substring(form, (i * L) div (k + 1) + 1, ((i + 1) * L) div (k + 1) - (i * L) div (k + 1))").alias("segment")
     )
-    all_values = spread(values.filter(F.col("value").isNotNull()).select("value").distinct(), "value")
-    typed = value_forms(all_values, wrappers, synonyms or {})
+    all_values = values.filter(F.col("value").isNotNull()).select("value").distinct()
+    # Few bytes, but each value asks with some hundred substrings: without this, one task would make them all.
+    typed = spread(value_forms(all_values, wrappers, synonyms or {}), "value", "typed")
     near = typed.withColumn("len", F.length("typed")).select("*", F.explode(F.sequence(F.greatest(F.lit(3), F.col("len") - 4), F.col("len") + 4)).alias("L"))
     asked = near.select("*", F.explode(F.array_distinct(F.array(limit_for(F.col("L")), limit_for_short(F.col("L"))))).alias("k")).filter("abs(len - L) <= k")
     asked = asked.select("*", F.explode(F.expr("sequence(0, k)")).alias("i")).select("*", F.explode(F.expr("sequence(-k, k)")).alias("shift"))
