@@ -56,11 +56,38 @@ def fuzzy_candidates(crm: DataFrame, marketing: DataFrame, exact: DataFrame) ->
     return band_join(left, right, ["service"], "created_at", "captured_at", DAY_MINUTES).join(exact.select("crm_record_id", "marketing_record_id"), ["crm_record_id", "marketing_record_id"], "left_anti")
 
 
+#: Normal forms of the fields that scores compare; each leaves its own results as they are.
+LOOSE = {"name": lambda c: F.nullif(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), F.lit("")), "email": email_key, "phone": phone_key_loose, "zip": zip_key_loose}
+
+
+def _field(f: str, side: str = "") -> Column:
+    return F.col(f"{side}{'zip_code' if f == 'zip' else f}")
+
+
+def loose(df: DataFrame) -> DataFrame:
+    """df with its four fields in the normal forms that scored compares, so that they are made once a record and not once a pair."""
+    return df.withColumns({"zip_code" if f == "zip" else f: norm(_field(f)) for f, norm in LOOSE.items()})
+
+
+def plausible(candidates: DataFrame, least: float = REVIEW) -> DataFrame:
+    """Candidates of loose records whose score can reach `least`: resolved loses none, and the costly similarity is left for few.
+
+    Of texts with lengths m and n the insert-delete distance is no less than Levenshtein's, so no similarity is above
+    1 - levenshtein / (m + n); nearness in time counts as it is.
+    """
+    ends = {f: (_field(f, "crm_"), _field(f, "marketing_")) for f in WEIGHTS}
+    most = [(F.lit(1.0) - F.levenshtein(a, b) / (F.length(a) + F.length(b)), F.lit(WEIGHTS[f])) for f, (a, b) in ends.items()]
+    weight = sum((F.when(s.isNotNull(), w).otherwise(0.0) for s, w in most), F.lit(0.0))
+    reached = sum((F.coalesce(s * w, F.lit(0.0)) for s, w in most), F.lit(0.0))
+    known = sum((s.isNotNull().cast("int") for s, _ in most), F.lit(0))
+    time = F.exp(-F.col("time_delta_minutes") / F.lit(DECAY_MINUTES))
+    # As a product, for the weight may be 0; the slack is for rounding.
+    return candidates.filter((known >= LEAST_EVIDENCE) & (F.lit(IDENTITY_SHARE) * reached >= (F.lit(least - 1e-9) - F.lit(1 - IDENTITY_SHARE) * time) * weight))
+
+
 def scored(candidates: DataFrame) -> DataFrame:
     """Similarities, identity, time and final score of candidates, all in built-in expressions."""
-    loose = {"name": lambda c: F.nullif(F.trim(F.regexp_replace(F.lower(c), r"\s+", " ")), F.lit("")), "email": email_key, "phone": phone_key_loose, "zip": zip_key_loose}
-    column = lambda side, f: F.col(f"{side}_{'zip_code' if f == 'zip' else f}")
-    compared = candidates.withColumns({f"{f}_similarity": similarity_ratio(norm(column("crm", f)), norm(column("marketing", f))) for f, norm in loose.items()})
+    compared = candidates.withColumns({f"{f}_similarity": similarity_ratio(norm(_field(f, "crm_")), norm(_field(f, "marketing_"))) for f, norm in LOOSE.items()})
     parts = [(F.col(f"{f}_similarity"), w) for f, w in WEIGHTS.items()]
     known = compared.withColumns(
         {

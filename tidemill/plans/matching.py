@@ -9,6 +9,7 @@ from tidemill.functions.maths import rounded
 from tidemill.functions.text import email_key
 from tidemill.operators import linkage as K
 from tidemill.plans.registry import Registry
+from tidemill.session import cut
 from tidemill.sources.tables import Tables
 
 R = Registry()
@@ -42,7 +43,8 @@ def exact(t: Tables) -> DataFrame:
 def links(t: Tables) -> DataFrame:
     """Resolved links."""
     found = exact(t)
-    return K.resolved(found, K.scored(K.fuzzy_candidates(t.crm_leads, t.marketing_leads, found)))
+    # The cut keeps Spark from merging the two filters, which would score every candidate.
+    return K.resolved(found, K.scored(cut(K.plausible(K.fuzzy_candidates(K.loose(t.crm_leads), K.loose(t.marketing_leads), found)))))
 
 
 _KEYS = "name_norm, email_norm, phone_norm, zip_norm"
@@ -91,9 +93,9 @@ def review_queue(t: Tables) -> DataFrame:
     return K.review_queue(links(t)).withColumn("match_score", rounded(F.col("match_score")))
 
 
-def exact_links(t: Tables) -> DataFrame:
-    """Links by exact rules only."""
-    return exact(t).withColumns({"match_method": F.lit("exact"), "review_status": F.lit("auto_match")})
+def accepted(t: Tables) -> DataFrame:
+    """Links that need no look, exact and fuzzy, cut as they are read several times. The SQL beside the queries fed by them knows the exact ones only."""
+    return cut(links(t).filter(F.col("review_status") == "auto_match"))
 
 
 _CLUSTERS = f"""{_EXACT}, links AS (SELECT 'crm:' || crm_record_id AS a, 'marketing:' || marketing_record_id AS b FROM exact),
@@ -105,16 +107,16 @@ members AS (SELECT printf('RCL%07d', dense_rank() OVER (ORDER BY component)) AS
 
 @R.query("cluster_members", f"{_CLUSTERS} SELECT * FROM members")
 def cluster_members(t: Tables) -> DataFrame:
-    """G01 over exact links."""
-    return K.cluster_members(exact_links(t))
+    """G01."""
+    return K.cluster_members(accepted(t))
 
 
 @R.query("clusters", f"""{_CLUSTERS}, counted AS (SELECT reconciled_lead_id, count(*) FILTER (system = 'crm') AS crm_record_count, count(*) FILTER (system = 'marketing') AS marketing_record_count FROM members GROUP BY 1),
 linked AS (SELECT reconciled_lead_id, count(*) AS match_edge_count FROM exact JOIN members ON record_id = crm_record_id AND system = 'crm' GROUP BY 1)
 SELECT *, match_edge_count AS exact_edge_count, 0::BIGINT AS fuzzy_edge_count, crm_record_count > 1 AS has_crm_duplicates, marketing_record_count > 1 AS has_marketing_duplicates, crm_record_count > 1 AND marketing_record_count > 1 AS is_many_to_many FROM counted JOIN linked USING (reconciled_lead_id)""")
 def clusters(t: Tables) -> DataFrame:
-    """G01 over exact links."""
-    found = exact_links(t)
+    """G01."""
+    found = accepted(t)
     return K.clusters(found, K.cluster_members(found))
 
 
@@ -126,8 +128,8 @@ _SIDE = lambda table, system, key, at, source: f"""{system}_side AS (SELECT coal
 SELECT ledger_id, CASE WHEN crm_records IS NULL THEN 'marketing_only' WHEN marketing_records IS NULL THEN 'crm_only' ELSE 'both' END AS ledger_kind, crm_first_id, marketing_first_id, coalesce(crm_records, 0) AS crm_records, coalesce(marketing_records, 0) AS marketing_records,
     epoch_us(coalesce(marketing_at, crm_at)) AS event_at, coalesce(marketing_source, crm_source) AS source, coalesce(marketing_campaign, crm_campaign) AS campaign, coalesce(marketing_service, crm_service) AS service FROM crm_side FULL JOIN marketing_side USING (ledger_id)""")
 def ledger(t: Tables) -> DataFrame:
-    """G08 over exact links."""
-    return K.ledger(t.crm_leads, t.marketing_leads, K.cluster_members(exact_links(t))).withColumn("event_at", F.unix_micros(F.col("event_at").cast("timestamp")))
+    """G08."""
+    return K.ledger(t.crm_leads, t.marketing_leads, K.cluster_members(accepted(t))).withColumn("event_at", F.unix_micros(F.col("event_at").cast("timestamp")))
 
 
 _DUPES = f"""{_BOTH}, pairs AS (SELECT DISTINCT a.marketing_record_id AS a, b.marketing_record_id AS b FROM mkt a JOIN mkt b ON a.service = b.service AND a.marketing_record_id < b.marketing_record_id
@@ -158,7 +160,7 @@ SELECT pair_predicted, pair_true_positives, lead_recovered, pair_possible, lead_
 def pair_evaluation(t: Tables) -> DataFrame:
     """G15, with the address as the truth that both tables know."""
     truth = lambda df, key: df.select(F.col(key).alias("record_id"), email_key(F.col("email")).alias("truth"))
-    scored = K.evaluate_pairs(exact(t), truth(t.crm_leads, "crm_record_id"), truth(t.marketing_leads, "marketing_record_id"))
+    scored = K.evaluate_pairs(accepted(t), truth(t.crm_leads, "crm_record_id"), truth(t.marketing_leads, "marketing_record_id"))
     return scored.withColumns({c: rounded(F.col(c)) for c in ("pair_precision", "pair_recall", "lead_recall", "pair_f1")})
 
 
@@ -168,4 +170,4 @@ def group_purity(t: Tables) -> DataFrame:
     """A14, G16."""
     truth = lambda df, key: df.select(F.col(key).alias("record_id"), email_key(F.col("email")).alias("truth"))
     both = truth(t.crm_leads, "crm_record_id").unionByName(truth(t.marketing_leads, "marketing_record_id"))
-    return K.group_purity(K.cluster_members(exact_links(t)).withColumnRenamed("reconciled_lead_id", "group_id"), both)
+    return K.group_purity(K.cluster_members(accepted(t)).withColumnRenamed("reconciled_lead_id", "group_id"), both)
