@@ -54,6 +54,23 @@ def leontief_series(a: DataFrame, codes: DataFrame, terms: int) -> DataFrame:
     return total(*parts[: terms + 1])
 
 
+def leontief_converged(a: DataFrame, codes: DataFrame, tolerance: float = 1e-12, max_doublings: int = 30) -> DataFrame:
+    """The series until the largest column sum of its last power is within tolerance, for matrices of any size.
+
+    Each round doubles the number of terms: the first 2n are S + A^n S. Raises RuntimeError where the powers don't vanish, as then the series has no sum.
+    """
+    power, series = cut(a.select("i", "j", "x")), cut(total(identity(codes), a))
+    for _ in range(max_doublings):
+        power = cut(product(power, power))
+        series = cut(total(series, product(power, series)))
+        largest = power.groupBy("j").agg(F.sum(F.abs("x")).alias("s")).agg(F.max("s")).first()[0] or 0.0
+        if largest <= tolerance:
+            return series
+        if not largest < 1e100:
+            break
+    raise RuntimeError("the powers of the matrix don't vanish: the series has no sum")
+
+
 def leontief_inverse(a: DataFrame, codes: list[str]) -> DataFrame:
     """The exact inverse of I - A for a list of sectors small enough for one task: a national table has below a thousand.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.maths import rounded
 from tidemill.operators import matrix as M
 from tidemill.plans.registry import Registry
+from tidemill.session import cut
 from tidemill.sources.tables import Tables
 
 R = Registry()
@@ -44,8 +45,14 @@ def coefficients(t: Tables) -> DataFrame:
 
 
 def leontief(t: Tables) -> DataFrame:
-    """L as a series."""
-    return M.leontief_series(coefficients(t), codes(t), TERMS)
+    """L as a series, until its powers vanish. The SQL beside the queries stops after TERMS of them."""
+    return M.leontief_converged(cut(coefficients(t)), codes(t))
+
+
+def inverse(t: Tables) -> DataFrame:
+    """L inverted in one task, for linkages and shocks."""
+    names = sorted(r["i"] for r in codes(t).collect())  # the list of nations is fixed
+    return M.leontief_inverse(coefficients(t), names)
 
 
 def six(df: DataFrame, *names: str) -> DataFrame:
@@ -74,15 +81,13 @@ def leontief_neumann(t: Tables) -> DataFrame:
 @R.query("leontief_exact")
 def leontief_exact(t: Tables) -> DataFrame:
     """L02 inverted in one task; tested against the identity."""
-    names = sorted(r["i"] for r in codes(t).collect())  # the list of nations is fixed
-    return six(M.leontief_inverse(coefficients(t), names), "x")
+    return six(inverse(t), "x")
 
 
 @R.query("matrix_compare")
 def matrix_compare(t: Tables) -> DataFrame:
     """The series against the exact inverse."""
-    names = sorted(r["i"] for r in codes(t).collect())
-    return six(M.compare(leontief(t), M.leontief_inverse(coefficients(t), names), atol=0.05), "max_abs", "mean_abs", "rmse")
+    return six(M.compare(leontief(t), inverse(t), atol=0.05), "max_abs", "mean_abs", "rmse")
 
 
 _LINKS = _LEONTIEF + """, g AS (SELECT sum(x) AS s FROM l), f AS (SELECT i, sum(x) AS r FROM l GROUP BY i), b AS (SELECT j AS i, sum(x) AS c FROM l GROUP BY j),
@@ -92,7 +97,7 @@ links AS (SELECT codes.i, coalesce(r, 0) * (SELECT count(*) FROM codes) / s AS f
 @R.query("linkages", f"{_LINKS} SELECT i, {_R6('forward_linkage')} AS forward_linkage, {_R6('backward_linkage')} AS backward_linkage, CASE WHEN forward_linkage >= 1 AND backward_linkage >= 1 THEN 'III' WHEN forward_linkage >= 1 THEN 'II' WHEN backward_linkage >= 1 THEN 'IV' ELSE 'I' END AS sector_type FROM links")
 def linkages(t: Tables) -> DataFrame:
     """L03, L04."""
-    return six(M.linkages(leontief(t), codes(t)), "forward_linkage", "backward_linkage")
+    return six(M.linkages(cut(inverse(t)), codes(t)), "forward_linkage", "backward_linkage")
 
 
 def deltas(t: Tables) -> DataFrame:
@@ -112,14 +117,14 @@ _R2 = lambda c: f"floor({c} * 1e2 + 0.5) / 1e2"
 @R.query("shock_impacts", f"{_SHOCK} SELECT scenario, i, {_R2('direct')} AS direct, {_R2('total')} AS total, {_R2('indirect')} AS indirect FROM shocked")
 def shock_impacts(t: Tables) -> DataFrame:
     """L05, L06, L07."""
-    return M.shock(leontief(t), deltas(t)).withColumns({c: rounded(F.col(c), 2) for c in ("direct", "total", "indirect")})
+    return M.shock(inverse(t), deltas(t)).withColumns({c: rounded(F.col(c), 2) for c in ("direct", "total", "indirect")})
 
 
 @R.query("scenario_compare", f"""{_SHOCK}, s AS (SELECT scenario, sum(direct) AS direct, sum(total) AS total, sum(indirect) AS indirect FROM shocked GROUP BY 1)
 SELECT scenario, {_R2('direct')} AS direct, {_R2('total')} AS total, {_R2('indirect')} AS indirect, {_R6('total / direct')} AS multiplier, {_R6('indirect / total')} AS indirect_share FROM s""")
 def scenario_compare(t: Tables) -> DataFrame:
     """L07."""
-    return six(M.compare_scenarios(M.shock(leontief(t), deltas(t))).withColumns({c: rounded(F.col(c), 2) for c in ("direct", "total", "indirect")}), "multiplier", "indirect_share")
+    return six(M.compare_scenarios(M.shock(inverse(t), deltas(t))).withColumns({c: rounded(F.col(c), 2) for c in ("direct", "total", "indirect")}), "multiplier", "indirect_share")
 
 
 @R.query("top_impacts", f"{_SHOCK} SELECT scenario, i, {_R2('total')} AS total, rank FROM (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY total DESC, i) AS rank FROM shocked) WHERE rank <= 8")
@@ -128,7 +133,7 @@ def top_impacts(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     best = F.row_number().over(Window.partitionBy("scenario").orderBy(F.desc("total"), "i")).cast("long")
-    return M.shock(leontief(t), deltas(t)).withColumn("rank", best).filter("rank <= 8").select("scenario", "i", rounded(F.col("total"), 2).alias("total"), "rank")
+    return M.shock(inverse(t), deltas(t)).withColumn("rank", best).filter("rank <= 8").select("scenario", "i", rounded(F.col("total"), 2).alias("total"), "rank")
 
 
 @R.query("coefficients_wide", f"{_FLOWS} SELECT i, " + ", ".join(f"coalesce(sum({_R6('x')}) FILTER (j = '{k}'), 0) AS n{k}" for k in range(25)) + " FROM a1 GROUP BY i")
