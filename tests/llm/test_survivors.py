@@ -48,11 +48,37 @@ def test_several_values_stay_true(spark):
 def test_sensitivity_and_specificity_are_found():
     rng = np.random.default_rng(1)
     truth = rng.random(20_000) < 0.6
-    sens, spec = np.array([0.98, 0.95, 0.97]), np.array([0.9, 0.3, 0.5])
-    votes = np.where(truth[:, None], rng.random((20_000, 3)) < sens, rng.random((20_000, 3)) > spec).astype(int)
+    sens, spec = np.array([0.98, 0.95, 0.7, 0.9]), np.array([0.9, 0.5, 0.95, 0.6])
+    votes = np.where(truth[:, None], rng.random((20_000, 4)) < sens, rng.random((20_000, 4)) > spec).astype(int)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    _, a, b = S.fit_witnesses(patterns, counts.astype(float))
-    assert np.abs(a - sens).max() < 0.12 and np.abs(b - spec).max() < 0.12
+    _, a, b = S.fit_sources(patterns, counts.astype(float))
+    assert np.abs(a - sens).max() < 0.05 and np.abs(b - spec).max() < 0.08
+
+
+def test_sources_judge_what_no_pattern_tells(spark):
+    """A name that looks like any other is denied by the sources that know the record; a stand-in that no list names is denied by the other groups too."""
+    extra = [("t1", "Wholly Different Words", "real title here", None, T0 + timedelta(days=9), 5, "g", 1), ("t2", "Real Title Here", "real title here", None, T0, 5, "g", 1)]
+    extra += [(f"u{k}", "Zzyzx Placeholder" if k % 2 else f"Title {'abcdefghij'[k % 10]}lpha{k}", f"title {'abcdefghij'[k % 10]}lpha{k - k % 2}", None, T0, 1, f"u{k // 2}", 1) for k in range(20)]
+    judged = {(r["dup_group"], r["value"]): r for r in S.value_sets(claims(table(spark, extra))).filter("field = 'name'").collect()}
+    assert not judged["g", "wholly different words"]["is_true"] and judged["g", "real title here"]["is_true"]
+    assert not any(r["is_true"] for (_, v), r in judged.items() if v == "zzyzx placeholder")
+    assert all(0 <= r["posterior"] <= 1 for r in judged.values())
+
+
+def test_sets_of_values(spark):
+    extra = [("t1", "One Name", "one name", ID, T0, 1, "g", 1), ("t2", "one name ", "one name", ID.upper(), T0, 1, "g", 1), ("t3", "One Name (Live)", "one name (live)", "n/a", T0, 1, "g", 1), ("t4", None, None, "", T0, 1, "g", 1)]
+    got = S.value_sets(claims(table(spark, extra))).filter("dup_group = 'g'")
+    assert rows(got, "field", "value", "records", "is_true") == sorted([("name", "one name", 2, True), ("name", "one name (live)", 1, True), ("mbid", ID, 2, True), ("mbid", "n/a", 1, False)], key=str)
+
+
+def test_hot_values_and_groups(spark, monkeypatch):
+    """A group and a value with a third of all rows come out the same when hot keys are broadcast."""
+    extra = [(f"h{k}", "Untitled" if k % 2 else "Large Group Song", "large group song", "n/a", T0, k, "large", 1) for k in range(100)]
+    want = rows(S.survivors(claims(table(spark, extra))))
+    whole = S.join_by_size
+    monkeypatch.setattr(S, "join_by_size", lambda a, b, key, size: whole(a, b, key, size, hot_rows=5, most_sent=3))
+    assert rows(S.survivors(claims(table(spark, extra)))) == want
+    assert ("large", "h98", "", "Large Group Song", None) in want
 
 
 def test_empty(spark):

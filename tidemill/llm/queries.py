@@ -68,7 +68,7 @@ def p4_entities(t: Tables) -> DataFrame:
 
 def _duplicates(t: Tables) -> DataFrame:
     tracks = survivors.claims_of(t.dim_track, "track_id", "track_name", "track_norm", "track_mbid")
-    return tracks.unionByName(survivors.claims_of(t.dim_album, "album_id", "album_name", "album_norm", "album_mbid"))
+    return tracks.unionByName(survivors.claims_of(t.dim_album, "album_id", "album_name", "album_norm", "album_mbid", "albums"))
 
 
 _SURVIVORS = r"""
@@ -99,6 +99,17 @@ def p5_true_values(t: Tables) -> DataFrame:
     return survivors.true_values(_duplicates(t)).select("dup_group", "id", "name", "mbid", "name_posterior", "mbid_posterior", "name_true", "mbid_true")
 
 
+_VALUE_SETS = _SURVIVORS.split("placed AS")[0].rstrip().rstrip(",") + """
+SELECT dup_group, 'name' AS field, lower(trim(name)) AS value, count(*) AS records, bool_or(name_ok) AS is_true FROM judged WHERE trim(coalesce(name, '')) <> '' GROUP BY dup_group, lower(trim(name))
+UNION ALL SELECT dup_group, 'mbid', lower(trim(mbid)), count(*), bool_or(mbid_ok) FROM judged WHERE trim(coalesce(mbid, '')) <> '' GROUP BY dup_group, lower(trim(mbid))"""
+
+
+@R.query("p5_value_sets", _VALUE_SETS)
+def p5_value_sets(t: Tables) -> DataFrame:
+    """The set of values that each group claims of a field, with those that are judged true."""
+    return survivors.value_sets(_duplicates(t)).select("dup_group", "field", "value", "records", "is_true")
+
+
 @R.query("p6_found")
 def p6_found(t: Tables) -> DataFrame:
     """Pairs of records that describe the same enquiry."""
