@@ -24,6 +24,12 @@ def join_by_size(facts: DataFrame, keyed: DataFrame, key: str, size: str, hot_ro
     return facts.join(F.broadcast(ranked.drop(size)), key).unionByName(facts.join(hot, key, "left_anti").join(cold, key))
 
 
+def without_keys(facts: DataFrame, keyed: DataFrame, key: str, size: str, most_sent: int = MOST_SENT) -> DataFrame:
+    """facts without the keys of keyed, which has one row per key and in `size` its number of rows of facts: the most_sent hottest by broadcast, the others by a shuffle."""
+    hot = F.broadcast(keyed.orderBy(F.desc(size), key).limit(most_sent).select(key))
+    return facts.join(hot, key, "left_anti").join(keyed.join(hot, key, "left_anti").select(key), key, "left_anti")
+
+
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """df over all cores, by hash of cols: for small inputs that a few file blocks hold but costly steps follow."""
     spark = df.sparkSession
