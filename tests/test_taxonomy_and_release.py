@@ -29,6 +29,27 @@ def chosen(spark, data):
     return {r["album_id"]: (r["release_group_mbid"], r["first_release_year"], r["resolution_method"]) for r in D.select_release(spark.createDataFrame(data, SCHEMA)).collect()}
 
 
+def test_editions(spark):
+    cases = {"Name (Big Deluxe Thing)": "Name", "Name [1999 Remaster] ": "Name", "Name (Live)": "Name (Live)", "Name - Mono": "Name - Mono", "Name – 20 Anos": "Name", "A - B - Remix": "A", "Name - (Bonus Disc)": "Name", "(Version)": "", "One (x) Two": "One (x) Two", "": ""}
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert [r for r in df.select("want", D.without_edition(F.col("t")).alias("got"), "t").collect() if r["want"] != r["got"]] == []
+    titles = spark.createDataFrame([("“Ação  &  Reação”", "acao and reacao"), ("Straße", "strasse"), ("Øre ‐ x’s", "øre - x's")], "t string, want string")
+    assert [r for r in titles.select("want", D.search_title(F.col("t")).alias("got")).collect() if r["want"] != r["got"]] == []
+
+
+def test_names_fold_by_decomposition(spark):
+    from tidemill.functions.text import fold_marks, name_key
+
+    df = spark.createDataFrame([("Dvořák Ğüneş Țepeș", "dvorakgunestepes"), ("Łukasz Øst", "ukaszst"), ("ｆｕｌｌ²", "full2"), ("ß", None)], "t string, want string")
+    assert [r for r in df.select("want", name_key(F.col("t")).alias("got")).collect() if r["want"] != r["got"]] == []
+    assert spark.createDataFrame([("Łukasz Øst Đuro Ěß",)], "t string").select(fold_marks(F.col("t"))).first()[0] == "lukasz ost duro ess"
+
+
+def test_copies_of_a_candidate_are_settled(spark):
+    data = [("a", "X", "Y", "1", "Y", ["X"], "2001", "Album", 50), ("a", "X", "Y", "1", "Y", ["X"], "1999-01", "Album", 90)]
+    assert chosen(spark, data) == chosen(spark, data[::-1]) == {"a": ("1", 1999, "release_group_search")}
+
+
 def test_selection(spark):
     data = [
         ("a", "Béla", "Dust", "1", "Dust", ["bela"], "1997-05", "Album", 90), ("a", "Béla", "Dust", "2", "Dust: Live", ["Bela"], "1990", "Album", 99),

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks and the plain letters they fold to.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžāēīōūăęąćłńśźżőű"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyszaeiouaeaclnszzou"
+def _fold_table(more: dict[str, str]) -> tuple[str, str]:
+    """(from, to) for translate: every character whose compatibility decomposition without marks is one ASCII character, then marks on their own, which are dropped."""
+    pairs = dict(more)
+    for ch in map(chr, [*range(0xA0, 0x3000), *range(0xFF00, 0xFFF0)]):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain.isascii() and plain != ch:
+            pairs.setdefault(ch, plain.lower())
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(pairs) + marks, "".join(pairs.values())
+
+
+DECOMPOSED = _fold_table({})
+#: Besides, letters that have no decomposition but a plain look-alike.
+FOLDED = _fold_table({"ø": "o", "ł": "l", "đ": "d", "ħ": "h", "ı": "i", "ŧ": "t"})
 
 
 def blank_to_null(c: Column) -> Column:
@@ -22,23 +35,28 @@ def lower_key(c: Column) -> Column:
 
 def fold_marks(c: Column) -> Column:
     """Lower case without the marks of Latin letters; ligatures are spelled out."""
-    low = F.translate(F.lower(c), MARKED, PLAIN)
+    low = F.translate(F.lower(c), *FOLDED)
     return F.replace(F.replace(F.replace(low, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
 
 
+def decomposed(c: Column) -> Column:
+    """Lower case without marks, by compatibility decomposition alone: letters such as ø, ł or ß, which have none, stay. Ligatures of several letters stay too."""
+    return F.translate(F.lower(c), *DECOMPOSED)
+
+
 def compact_key(c: Column) -> Column:
     """Only letters and digits, in lower case; NULL where nothing is left."""
     return F.nullif(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", ""), F.lit(""))
 
 
 def accent_key(c: Column) -> Column:
-    """compact_key after fold_marks."""
-    return compact_key(fold_marks(c))
+    """compact_key after decomposed."""
+    return compact_key(decomposed(c))
 
 
 def name_key(c: Column) -> Column:
-    """ASCII letters and digits of a name, folded, in lower case; NULL where nothing is left."""
-    return F.nullif(F.regexp_replace(fold_marks(c), "[^a-z0-9]", ""), F.lit(""))
+    """ASCII letters and digits of a name, decomposed, in lower case; letters without a decomposition are dropped; NULL where nothing is left."""
+    return F.nullif(F.regexp_replace(decomposed(c), "[^a-z0-9]", ""), F.lit(""))
 
 
 def tag_key(c: Column) -> Column:

@@ -43,6 +43,22 @@ def technical_coefficients(flows: DataFrame, output: DataFrame | None = None) ->
     return flows.join(F.broadcast(sums), "j").select("i", "j", ratio(F.col("x"), F.col("out")).alias("x")).filter(F.col("x").isNotNull())
 
 
+def market_shares(made: DataFrame) -> DataFrame:
+    """D: what each sector (i) makes of a product (j), as a share of all that is made of it; products that nobody makes are left out."""
+    sums = made.groupBy("j").agg(F.sum("x").alias("out"))
+    return made.join(sums, "j").select("i", "j", ratio(F.col("x"), F.col("out")).alias("x")).filter(F.col("x").isNotNull())
+
+
+def checked_demand(demand: DataFrame, totals: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """demand(i, j, x), a column for each component, if every row sums to totals(i, total) up to `tolerance` of it; else ValueError."""
+    sums = demand.groupBy("i").agg(F.sum("x").alias("s")).join(totals, "i", "full")
+    s, total_ = F.coalesce("s", F.lit(0.0)), F.coalesce("total", F.lit(0.0))
+    odd = [r[0] for r in sums.filter(F.abs(s - total_) > F.lit(tolerance) * F.greatest(F.abs(total_), F.lit(1.0))).select("i").orderBy("i").limit(5).collect()]
+    if odd:
+        raise ValueError(f"rows whose components don't sum to their total: {odd}")
+    return demand
+
+
 def leontief_series(a: DataFrame, codes: DataFrame, terms: int) -> DataFrame:
     """I + A + ... + A^terms: the inverse of I - A up to the next power, for matrices of any size."""
     power, parts = a, [identity(codes), a]
@@ -74,7 +90,7 @@ def leontief_converged(a: DataFrame, codes: DataFrame, tolerance: float = 1e-12,
 def leontief_inverse(a: DataFrame, codes: list[str]) -> DataFrame:
     """The exact inverse of I - A for a list of sectors small enough for one task: a national table has below a thousand.
 
-    The matrix is inverted in a worker, not on the driver; codes fix its order.
+    The matrix is inverted in a worker, not on the driver; codes fix its order. Beyond 4,000 sectors the series of leontief_converged is taken, to 1e-12.
     """
 
     def invert(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -87,7 +103,7 @@ def leontief_inverse(a: DataFrame, codes: list[str]) -> DataFrame:
         return pd.DataFrame({"i": np.repeat(codes, len(codes)), "j": np.tile(codes, len(codes)), "x": inverse.ravel()})
 
     if len(codes) > 4000:
-        raise ValueError("too many sectors for one task: use leontief_series")
+        return leontief_converged(a, a.sparkSession.createDataFrame([(c,) for c in codes], "i string"))
     return a.select("i", "j", "x", F.lit(1).alias("one")).groupBy("one").applyInPandas(invert, "i string, j string, x double")
 
 

@@ -6,27 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.dates import year_of_partial_date
-from tidemill.functions.text import fold_marks
+from tidemill.functions.text import decomposed
 
-# Words that mark an edition of a title, and primary types from best to worst.
-EDITION_WORDS = ["deluxe", "edition", "remaster", "expanded", "anniversary", "bonus", "special", "reissue", "version", "mono", "stereo", "live"]
+# Texts that mark an edition wherever they stand in a qualifier.
+EDITION_MARKS = ["edition", "version", "release", "expanded", "deluxe", "bonus", "remaster", "remastered", "remix", "anniversary", "reissue", "live from", " anos"]
+# Primary types from best to worst.
 TYPE_RANK = {"Album": 4, "EP": 3, "Single": 2, "Broadcast": 1, "Other": 0}
+# Dashes and quotes that count as their plain forms.
+DASHES, QUOTES = "‐–—", "’‘"
 
 
 def search_title(c: Column) -> Column:
-    """A title as it is searched for: outer quotes gone, folded, quotes and dashes plain, `&` spelled out, blanks single."""
+    """A title as it is searched for: outer quotes gone, without marks, quotes and dashes plain, `&` spelled out, blanks single."""
     bare = F.regexp_replace(F.trim(c), r'^"(.*)"$|^“(.*)”$', "$1$2")
-    plain = F.replace(F.translate(fold_marks(bare), "’‘‐‑–—", "''----"), F.lit("&"), F.lit(" and "))
+    spelled = F.replace(F.replace(decomposed(bare), F.lit("ß"), F.lit("ss")), F.lit("&"), F.lit(" and "))
+    plain = F.translate(spelled, DASHES + QUOTES, "-" * len(DASHES) + "'" * len(QUOTES))
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
+def marks_edition(qualifier: Column) -> Column:
+    """Whether a qualifier holds a mark of an edition, letter case and runs of blanks aside."""
+    plain = F.lower(F.trim(F.regexp_replace(qualifier, r"\s+", " ")))
+    return F.exists(F.array(*map(F.lit, EDITION_MARKS)), lambda m: F.contains(plain, m))
+
+
 def without_edition(c: Column) -> Column:
-    """A title without a trailing qualifier in brackets or after a dash that marks an edition."""
-    words = "|".join(EDITION_WORDS)
-    bracket = rf"(?i)\s*[(\[][^()\[\]]*({words})[^()\[\]]*[)\]]\s*$"
-    dash = rf"(?i)\s+[-–—]\s+[^-–—]*({words})[^-–—]*$"
+    """A title without its qualifier, if that marks an edition: the last pair of brackets at the end, else all after the first dash between blanks.
+
+    Other titles, such as `Name (Live)`, only lose outer blanks.
+    """
     title = F.trim(c)
-    return F.when(title.rlike(bracket), F.regexp_replace(F.regexp_replace(title, bracket, ""), r"[\s\-–—]+$", "")).otherwise(F.regexp_replace(title, dash, ""))
+    # What stands before and in the last brackets; what stands before and after the first dash. Both are empty where there is none.
+    around, within = F.regexp_extract(title, r"^(.*?)\s*[(\[]([^()\[\]]+)[)\]]$", 1), F.regexp_extract(title, r"[(\[]([^()\[\]]+)[)\]]$", 1)
+    before, after = F.regexp_extract(title, r"^(.*?)\s+[-–—]\s+(.+)$", 1), F.regexp_extract(title, r"^.*?\s+[-–—]\s+(.+)$", 1)
+    return F.when(marks_edition(within), F.regexp_replace(around, r"[\s\-–—]+$", "")).when(marks_edition(after), F.trim(before)).otherwise(title)
 
 
 def title_level(candidate: Column, artist: Column, album: Column) -> Column:
@@ -57,7 +70,10 @@ def select_release(candidates: DataFrame) -> DataFrame:
     )
     levelled = tried.withColumn("level", title_level(F.col("title"), F.col("artist"), F.col("t.asked"))).filter("level > 0").withColumn("variant", (F.col("t.turn") == 0))
     year, rank = year_of_partial_date(F.col("first_release_date")), F.create_map(*[F.lit(x) for kv in TYPE_RANK.items() for x in kv])[F.coalesce("primary_type", F.lit("Other"))]
-    rows = levelled.withColumns({"year": year, "type_rank": F.coalesce(rank, F.lit(0))}).dropDuplicates(["album_id", "variant", "level", "id"])
+    # Copies of a candidate that differ: the one with the best score, then the fullest and smallest date, title and type.
+    better = F.struct(-F.coalesce("score", F.lit(0)), -F.length(F.coalesce("first_release_date", F.lit(""))), "first_release_date", "title", "primary_type")
+    copy = F.struct("title", "primary_type", "first_release_date", "score", year.alias("year"), F.coalesce(rank, F.lit(0)).alias("type_rank"))
+    rows = levelled.groupBy("album_id", "variant", "level", "id").agg(F.min_by(copy, better).alias("one")).select("album_id", "variant", "level", "id", "one.*")
     best = Window.partitionBy("album_id", "variant")
     strongest = rows.withColumn("top", F.max("level").over(best)).filter("level = top")
     order = F.struct(F.col("year").isNull(), -F.col("type_rank"), -F.coalesce("score", F.lit(0)), -F.length(F.coalesce("first_release_date", F.lit(""))), F.col("id"))

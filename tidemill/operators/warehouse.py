@@ -17,11 +17,15 @@ count_if = lambda c: F.count_if(c)
 
 
 def stage_plays(bronze: DataFrame) -> DataFrame:
-    """One row per play of a user: trimmed texts, their keys, blank ids as NULL; the copy ingested first stays."""
+    """One row per play of a user: trimmed texts, their keys, blank ids as NULL; the copy ingested first stays.
+
+    scrobble_id doesn't tell users apart, as it is the key of one user's warehouse; play_id does, and is unique.
+    """
     once = deliver_once(historical_plays(bronze), play_identifier(), PLAY_ORDER, "observation_id")
     keyed = once.withColumns({"artist_norm": F.lower(F.trim("artist")), "track_norm": F.lower(F.trim("track")), "album_norm": lower_key(F.col("album"))})
     return keyed.select(
         md5_key(F.col("scrobbled_at_uts").cast("string"), F.col("artist_norm"), F.col("track_norm"), F.coalesce("album_norm", F.lit(""))).alias("scrobble_id"),
+        F.md5(F.to_json(F.struct("user_name", "scrobbled_at_uts", "artist_norm", "track_norm", "album_norm"))).alias("play_id"),
         "user_name", F.trim("artist").alias("artist"), F.trim("track").alias("track"), blank_to_null(F.col("album")).alias("album"), "artist_norm", "track_norm", "album_norm",
         *[blank_to_null(F.col(c)).alias(c) for c in ("artist_mbid", "track_mbid", "album_mbid")],
         "scrobbled_at", "scrobbled_at_uts", "track_url", F.col("run_id").alias("source_run_id"), "source_page", "source_position", "source_file", "ingested_at",

@@ -22,7 +22,7 @@ WITH placed AS (
     FROM bronze_scrobbles WHERE scrobbled_at_uts IS NOT NULL AND NOT coalesce(is_now_playing, false)),
 staged AS (
     SELECT md5(concat_ws('|', CAST(scrobbled_at_uts AS VARCHAR), artist_norm, track_norm, coalesce(album_norm, ''))) AS scrobble_id, user_name, trim(artist) AS artist, trim(track) AS track, nullif(trim(album), '') AS album,
-        artist_norm, track_norm, album_norm, nullif(trim(artist_mbid), '') AS artist_mbid, nullif(trim(track_mbid), '') AS track_mbid, nullif(trim(album_mbid), '') AS album_mbid, scrobbled_at, scrobbled_at_uts, run_id
+        artist_norm, track_norm, album_norm, nullif(trim(artist_mbid), '') AS artist_mbid, nullif(trim(track_mbid), '') AS track_mbid, nullif(trim(album_mbid), '') AS album_mbid, scrobbled_at, scrobbled_at_uts, run_id, run_id AS source_run_id, track_url, source_page, source_position, source_file, ingested_at
     FROM placed WHERE copy_rank = 1)
 """
 _US = lambda *names: ", ".join(f"epoch_us({n}) AS {n}" for n in names)
@@ -42,10 +42,19 @@ def _sql6(*names: str) -> str:
     return ", ".join(f"floor({n} * 1e6 + 0.5) / 1e6 AS {n}" for n in names)
 
 
-@R.query("stg_scrobbles", _STAGED + "SELECT scrobble_id, user_name, artist, track, album, artist_norm, track_norm, album_norm, artist_mbid, track_mbid, album_mbid, scrobbled_at_uts, run_id AS source_run_id FROM staged")
+_STG = ["scrobble_id", "user_name", "artist", "track", "album", "artist_norm", "track_norm", "album_norm", "artist_mbid", "track_mbid", "album_mbid", "scrobbled_at_uts", "source_run_id", "track_url", "source_page", "source_position", "source_file", "scrobbled_at", "ingested_at"]
+
+
+@R.query("stg_scrobbles", _STAGED + f"SELECT * REPLACE ({_US('scrobbled_at', 'ingested_at')}) FROM (SELECT {', '.join(_STG)} FROM staged)")
 def stg_scrobbles(t: Tables) -> DataFrame:
     """Q01."""
-    return W.stage_plays(t.bronze_scrobbles).select("scrobble_id", "user_name", "artist", "track", "album", "artist_norm", "track_norm", "album_norm", "artist_mbid", "track_mbid", "album_mbid", "scrobbled_at_uts", "source_run_id")
+    return _micros(W.stage_plays(t.bronze_scrobbles).select(*_STG), "scrobbled_at", "ingested_at")
+
+
+@R.query("staged_play_keys", _STAGED + "SELECT count(*) AS plays, count(*) AS play_ids, count(DISTINCT scrobble_id) AS scrobble_ids FROM staged")
+def staged_play_keys(t: Tables) -> DataFrame:
+    """Q01: every play has a play_id of its own."""
+    return W.stage_plays(t.bronze_scrobbles).agg(F.count("*").alias("plays"), F.count_distinct("play_id").alias("play_ids"), F.count_distinct("scrobble_id").alias("scrobble_ids"))
 
 
 _DIM = lambda keys, name, mbid, more="": f"arg_max({name}, (scrobbled_at_uts, {name})) FILTER ({name} IS NOT NULL) AS {name}_name, max({mbid}) AS {mbid}, epoch_us(min(scrobbled_at)) AS first_scrobble_at, epoch_us(max(scrobbled_at)) AS latest_scrobble_at, count(*) AS scrobble_count{more} FROM staged"

@@ -15,7 +15,7 @@ from tidemill.sources.tables import Tables
 R = Registry()
 
 _DIGITS = "regexp_replace(phone, '[^0-9]', '', 'g')"
-_NORM = lambda table: f"""SELECT *, nullif(lower(trim(email)), '') AS email_norm, nullif(regexp_replace(translate(lower(name), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžāēīōūăęąćłńśźżőű', 'aaaaaaceeeeiiiinoooooouuuuyyszaeiouaeaclnszzou'), '[^a-z0-9]', '', 'g'), '') AS name_norm,
+_NORM = lambda table: f"""SELECT *, nullif(lower(trim(email)), '') AS email_norm, nullif(regexp_replace(strip_accents(lower(name)), '[^a-z0-9]', '', 'g'), '') AS name_norm,
     CASE WHEN length({_DIGITS}) = 10 THEN {_DIGITS} WHEN length({_DIGITS}) = 11 AND {_DIGITS} LIKE '1%' THEN substr({_DIGITS}, 2) END AS phone_norm,
     CASE WHEN length(regexp_replace(zip_code, '[^0-9]', '', 'g')) >= 5 THEN substr(regexp_replace(zip_code, '[^0-9]', '', 'g'), 1, 5) END AS zip_norm FROM {table}"""
 _BOTH = f"WITH RECURSIVE crm AS ({_NORM('crm_leads')}), mkt AS ({_NORM('marketing_leads')})"
@@ -74,31 +74,50 @@ def fuzzy_candidates(t: Tables) -> DataFrame:
     return K.fuzzy_candidates(t.crm_leads, t.marketing_leads, exact(t)).select("crm_record_id", "marketing_record_id", "time_delta_minutes")
 
 
-@R.query("fuzzy_scored")
+# The longest common subsequence in SQL, row by row of its table: the first list is the row before the first letter, the others are the letters.
+_LCS = lambda a, b: f"""list_reduce(list_concat([list_transform(range(0, length({b}) + 1), lambda x: 0::BIGINT)], list_transform(string_split({a}, ''), lambda c: [unicode(c)::BIGINT])),
+    lambda row, c: list_concat([0::BIGINT], list_transform(range(1, len(row)), lambda k: list_max(list_transform(range(1, k + 1), lambda q: CASE WHEN unicode(substr({b}, q, 1)) = c[1] THEN row[q] + 1 ELSE row[q + 1] END)))))[-1]"""
+_SIM = lambda f: f"CASE WHEN a.{f} IS NULL OR b.{f} IS NULL THEN NULL WHEN a.{f} = b.{f} THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * {_LCS('a.' + f, 'b.' + f)} / (length(a.{f}) + length(b.{f})) END"
+_FIELDS = ["name", "email", "phone", "zip"]
+_LOOSE = lambda table, key, at: f"""SELECT {key}, service, {at}, nullif(trim(regexp_replace(lower(name), '\\s+', ' ', 'g')), '') AS name, nullif(lower(trim(email)), '') AS email,
+    CASE WHEN length({_DIGITS}) = 11 AND {_DIGITS} LIKE '1%' THEN substr({_DIGITS}, 2) ELSE nullif({_DIGITS}, '') END AS phone, nullif(substr(regexp_replace(zip_code, '[^0-9]', '', 'g'), 1, 5), '') AS zip FROM {table}"""
+_SUM = lambda what: " + ".join(f"coalesce({what(f)}, 0)" for f in _FIELDS)
+_SCORED = f"""{_EXACT}, loose_crm AS ({_LOOSE('crm_leads', 'crm_record_id', 'created_at')}), loose_mkt AS ({_LOOSE('marketing_leads', 'marketing_record_id', 'captured_at')}),
+sims AS MATERIALIZED (SELECT a.crm_record_id, b.marketing_record_id, {_GAP} AS gap, {', '.join(f'{_SIM(f)} AS {f}_similarity' for f in _FIELDS)}
+    FROM loose_crm a JOIN loose_mkt b ON a.service = b.service WHERE {_GAP} <= 1440 AND (a.crm_record_id, b.marketing_record_id) NOT IN (SELECT (crm_record_id, marketing_record_id) FROM exact)),
+weighed AS (SELECT *, {_SUM(lambda f: f"CASE WHEN {f}_similarity IS NOT NULL THEN 1 END")} AS evidence_count, exp(-gap / {K.DECAY_MINUTES}) AS time_score,
+    ({_SUM(lambda f: f"{f}_similarity * {K.WEIGHTS[f]}")}) / nullif({_SUM(lambda f: f"CASE WHEN {f}_similarity IS NOT NULL THEN {K.WEIGHTS[f]} END")}, 0) AS identity_score FROM sims),
+scored AS (SELECT *, coalesce({K.IDENTITY_SHARE} * identity_score + {1 - K.IDENTITY_SHARE} * time_score, 0) AS fuzzy_score FROM weighed),
+resolved AS (SELECT crm_record_id, marketing_record_id, time_delta_minutes, match_rule, match_score, 'exact' AS match_method, 'auto_match' AS review_status FROM exact
+    UNION ALL SELECT crm_record_id, marketing_record_id, gap, 'fuzzy_identity', fuzzy_score, 'fuzzy', CASE WHEN fuzzy_score >= {K.AUTO} THEN 'auto_match' ELSE 'manual_review' END FROM scored WHERE fuzzy_score >= {K.REVIEW} AND evidence_count >= {K.LEAST_EVIDENCE})"""
+_ROUND = lambda c: f"floor({c} * 1e6 + 0.5) / 1e6 AS {c}"
+_SCORES = ["name_similarity", "email_similarity", "phone_similarity", "zip_similarity", "identity_score", "time_score", "fuzzy_score"]
+
+
+@R.query("fuzzy_scored", f"{_SCORED} SELECT crm_record_id, marketing_record_id, CAST(evidence_count AS BIGINT) AS evidence_count, {', '.join(map(_ROUND, _SCORES))} FROM scored")
 def fuzzy_scored(t: Tables) -> DataFrame:
-    """G05; the similarity is tested against brute force."""
-    columns = ["name_similarity", "email_similarity", "phone_similarity", "zip_similarity", "identity_score", "time_score", "fuzzy_score"]
-    return K.scored(K.fuzzy_candidates(t.crm_leads, t.marketing_leads, exact(t))).select("crm_record_id", "marketing_record_id", "evidence_count", *[rounded(F.col(c)).alias(c) for c in columns])
+    """G05."""
+    return K.scored(K.fuzzy_candidates(t.crm_leads, t.marketing_leads, exact(t))).select("crm_record_id", "marketing_record_id", "evidence_count", *[rounded(F.col(c)).alias(c) for c in _SCORES])
 
 
-@R.query("resolved_matches")
+@R.query("resolved_matches", f"{_SCORED} SELECT * REPLACE ({_ROUND('match_score')}) FROM resolved")
 def resolved_matches(t: Tables) -> DataFrame:
     """G06."""
     return links(t).withColumn("match_score", rounded(F.col("match_score")))
 
 
-@R.query("review_queue")
+@R.query("review_queue", f"{_SCORED} SELECT * REPLACE ({_ROUND('match_score')}) FROM resolved WHERE review_status = 'manual_review'")
 def review_queue(t: Tables) -> DataFrame:
     """G07."""
     return K.review_queue(links(t)).withColumn("match_score", rounded(F.col("match_score")))
 
 
 def accepted(t: Tables) -> DataFrame:
-    """Links that need no look, exact and fuzzy, cut as they are read several times. The SQL beside the queries fed by them knows the exact ones only."""
+    """Links that need no look, exact and fuzzy, cut as they are read several times."""
     return cut(links(t).filter(F.col("review_status") == "auto_match"))
 
 
-_CLUSTERS = f"""{_EXACT}, links AS (SELECT 'crm:' || crm_record_id AS a, 'marketing:' || marketing_record_id AS b FROM exact),
+_CLUSTERS = f"""{_SCORED}, accepted AS MATERIALIZED (SELECT * FROM resolved WHERE review_status = 'auto_match'), links AS (SELECT 'crm:' || crm_record_id AS a, 'marketing:' || marketing_record_id AS b FROM accepted),
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT DISTINCT a AS node, a AS seen FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.seen = e.a),
 labels AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
@@ -112,8 +131,8 @@ def cluster_members(t: Tables) -> DataFrame:
 
 
 @R.query("clusters", f"""{_CLUSTERS}, counted AS (SELECT reconciled_lead_id, count(*) FILTER (system = 'crm') AS crm_record_count, count(*) FILTER (system = 'marketing') AS marketing_record_count FROM members GROUP BY 1),
-linked AS (SELECT reconciled_lead_id, count(*) AS match_edge_count FROM exact JOIN members ON record_id = crm_record_id AND system = 'crm' GROUP BY 1)
-SELECT *, match_edge_count AS exact_edge_count, 0::BIGINT AS fuzzy_edge_count, crm_record_count > 1 AS has_crm_duplicates, marketing_record_count > 1 AS has_marketing_duplicates, crm_record_count > 1 AND marketing_record_count > 1 AS is_many_to_many FROM counted JOIN linked USING (reconciled_lead_id)""")
+linked AS (SELECT reconciled_lead_id, count(*) AS match_edge_count, count(*) FILTER (match_method = 'exact') AS exact_edge_count, count(*) FILTER (match_method = 'fuzzy') AS fuzzy_edge_count FROM accepted JOIN members ON record_id = crm_record_id AND system = 'crm' GROUP BY 1)
+SELECT *, crm_record_count > 1 AS has_crm_duplicates, marketing_record_count > 1 AS has_marketing_duplicates, crm_record_count > 1 AND marketing_record_count > 1 AS is_many_to_many FROM counted JOIN linked USING (reconciled_lead_id)""")
 def clusters(t: Tables) -> DataFrame:
     """G01."""
     found = accepted(t)
@@ -152,7 +171,7 @@ def duplicate_groups(t: Tables) -> DataFrame:
 _TRUTH = "ct AS (SELECT crm_record_id, nullif(lower(trim(email)), '') AS ta FROM crm_leads), mt AS (SELECT marketing_record_id, nullif(lower(trim(email)), '') AS tb FROM marketing_leads)"
 
 
-@R.query("pair_evaluation", f"""{_EXACT}, {_TRUTH}, judged AS (SELECT coalesce(ta = tb, false) AS ok, ta FROM exact LEFT JOIN ct USING (crm_record_id) LEFT JOIN mt USING (marketing_record_id)),
+@R.query("pair_evaluation", f"""{_SCORED}, {_TRUTH}, judged AS (SELECT coalesce(ta = tb, false) AS ok, ta FROM (SELECT * FROM resolved WHERE review_status = 'auto_match') LEFT JOIN ct USING (crm_record_id) LEFT JOIN mt USING (marketing_record_id)),
 got AS (SELECT count(*) AS pair_predicted, count(*) FILTER (ok) AS pair_true_positives, count(DISTINCT CASE WHEN ok THEN ta END) AS lead_recovered FROM judged),
 shared AS (SELECT count(*) AS pair_possible, count(DISTINCT ta) AS lead_possible FROM ct JOIN mt ON ta = tb),
 r AS (SELECT *, pair_true_positives / pair_predicted AS p, pair_true_positives / pair_possible AS q, lead_recovered / lead_possible AS l FROM got, shared)

@@ -12,9 +12,8 @@ from tidemill.sources.tables import Tables
 
 R = Registry()
 
-_MARKS = "'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžāēīōūăęąćłńśźżőű', 'aaaaaaceeeeiiiinoooooouuuuyyszaeiouaeaclnszzou'"
 _CK = lambda c: f"nullif(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '')"
-_AK = lambda c: _CK(f"translate(lower({c}), {_MARKS})")
+_AK = lambda c: _CK(f"strip_accents(lower({c}))")
 _RESOLVED = f"""WITH tags AS (SELECT DISTINCT nullif(regexp_replace(lower(trim(tag_norm)), '\\s+', ' ', 'g'), '') AS tag_norm FROM dim_tag_taxonomy),
 genres AS (SELECT DISTINCT nullif(regexp_replace(lower(trim(canonical_genre)), '\\s+', ' ', 'g'), '') AS genre FROM ref_genre),
 compact AS (SELECT {_CK('genre')} AS k, min(genre) AS g FROM genres GROUP BY 1 HAVING count(*) = 1), accent AS (SELECT {_AK('genre')} AS k, min(genre) AS g FROM genres GROUP BY 1 HAVING count(*) = 1),

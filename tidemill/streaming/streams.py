@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators.delivery import play_identifier
+from tidemill.session import shared_folder
 
 
 def read_stream(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int = 1) -> DataFrame:
@@ -17,13 +17,16 @@ def read_stream(spark: SparkSession, path: str, like: DataFrame, files_per_batch
     return raw.withColumns({f.name: F.col(f.name).cast("timestamp") for f in like.schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def plays_delivered_once(stream: DataFrame, lateness: str = "3650 days") -> DataFrame:
+def plays_delivered_once(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
     """Plays of overlapping fetches, each let through once: T02, T03, T06.
 
-    The state holds one row per play for as long as copies may be late; it is keyed, so it spreads over all tasks.
+    The state holds one row per play for as long as copies may be late, then lets it go; it is keyed, so it spreads over all tasks. Plays further behind the
+    latest one than `lateness` are late for good and are dropped: give a longer time to a stream that is replayed out of order.
     """
     ended = stream.filter(F.col("scrobbled_at_uts").isNotNull() & ~F.coalesce(F.col("is_now_playing"), F.lit(False)))
-    keyed = ended.withColumns({"at": F.timestamp_seconds("scrobbled_at_uts"), "play_key": F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in play_identifier()]), 256)})
+    # As structs with nothing joined, no two plays have the same key: ('a|b', 'c') isn't ('a', 'b|c'), and NULL isn't blank.
+    parts = [x for c in play_identifier() for x in (c.isNull(), c)]
+    keyed = ended.withColumns({"at": F.timestamp_seconds("scrobbled_at_uts"), "play_key": F.struct(F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts))})
     return keyed.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["play_key"])
 
 
@@ -48,7 +51,7 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     Offsets and state live in a checkpoint beside it; files of a batch become visible only when it is committed.
     """
     spark = stream.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidemill-')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
@@ -69,7 +72,7 @@ def run_available_complete(stream: DataFrame) -> DataFrame:
     Each batch overwrites the folder, so the result is that of the last one; it holds windows, not events.
     """
     spark = stream.sparkSession
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tidemill-')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out")).start()
     )
