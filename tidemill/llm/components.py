@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.components import number_in_order
 from tidemill.operators.skew import HOT_ROWS, join_by_size
 from tidemill.session import cut
 
@@ -41,6 +42,24 @@ def hash_to_min(edges: DataFrame, src: str = "src", dst: str = "dst", hot_rows:
     return pairs.groupBy("v").agg(F.min("u").alias("group_key")).withColumnRenamed("v", "node")
 
 
+def groups_of_texts(edges: DataFrame, src: str = "src", dst: str = "dst", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """hash_to_min for nodes that are texts: numbered once in their order, so that all rounds move two longs a row, and named again at the end.
+
+    The number of the smallest member is the smallest number, so the groups are the same. Joins to the names are by the unique number or text of a node;
+    a node with very many edges is joined by broadcast (see join_by_size).
+    """
+    e = cut(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).filter(F.col("s").isNotNull() & F.col("d").isNotNull()).distinct())
+    degrees = e.select(F.explode(F.array("s", "d")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    nodes = cut(number_in_order(degrees, "node", "no"))
+    named = lambda end, no: nodes.select(F.col("node").alias(end), F.col("no").alias(no), "degree")
+    half = join_by_size(e, named("s", "src"), "s", "degree", hot_rows).select("src", "d")
+    numbered = join_by_size(half, named("d", "dst"), "d", "degree", hot_rows).select("src", "dst")
+    found = cut(hash_to_min(numbered, hot_rows=hot_rows))
+    sizes = found.groupBy("group_key").agg(F.count("*").alias("members"))
+    heads = sizes.join(nodes.select(F.col("no").alias("group_key"), F.col("node").alias("head")), "group_key")
+    return join_by_size(found, heads, "group_key", "members", hot_rows).join(nodes.select("no", F.col("node").alias("text")), F.col("node") == F.col("no")).select(F.col("text").alias("node"), F.col("head").alias("group_key"))
+
+
 def _plain(c: str):
     return F.upper(F.regexp_replace(F.col(c), r"^\s+|\s+$", ""))
 
@@ -65,5 +84,5 @@ def archive_links(match_pairs: DataFrame, membership: DataFrame) -> DataFrame:
 
 def record_groups(match_pairs: DataFrame, membership: DataFrame) -> DataFrame:
     """One row (system, record_id, group_key) per record of the archive, linked or not."""
-    found = hash_to_min(archive_links(match_pairs, membership)).filter(~F.col("node").startswith("~"))
+    found = groups_of_texts(archive_links(match_pairs, membership)).filter(~F.col("node").startswith("~"))
     return found.select(F.split_part("node", F.lit(":"), F.lit(1)).alias("system"), F.expr("substring(node, instr(node, ':') + 1)").alias("record_id"), "group_key")
