@@ -64,3 +64,12 @@ def test_rows_repeats_and_empty_tables(spark):
     assert got == [("a", "Home Expo Booth"), ("b", "Home Expo Booth"), ("d", "")]
     assert rows(C.map_rows(data.drop("n").limit(0), reference, "entry", [], True)) == []
     assert rows(C.map_rows(data.drop("n"), reference.limit(0), "entry", [], True), "row_key", "canonical_value") == [("a", ""), ("b", ""), ("d", "")]
+
+
+def test_short_and_long_entries(spark):
+    """An entry of two letters is met by itself only; one of many words by most of them."""
+    words = " ".join(f"w{chr(97 + k)}rd{chr(97 + k)}" for k in range(24))
+    ref = spark.createDataFrame([("R&B",), (words,), ("X",), ("x" * 300,)], "g string")
+    typed = ["r&b", "r b", "rx", "X", words.upper(), words.replace("wcrdc ", ""), "x" * 299, "of"]
+    got = {r["value"]: r["canonical_value"] for r in C.map_values(spark.createDataFrame([(x,) for x in typed], "value string"), ref, "g", [], True).collect()}
+    assert got == {"r&b": "R&B", "r b": "R&B", "rx": "", "X": "X", words.upper(): words, words.replace("wcrdc ", ""): words, "x" * 299: "x" * 300, "of": ""}

@@ -67,3 +67,9 @@ def test_sample_is_bounded(spark):
     df = spark.createDataFrame([(k, f"text {k}", "en" if k % 2 else "pt-BR") for k in range(400)], "doc_id long, text string, lang string")
     sample = L.labelled_sample(df, "doc_id", "text", "lang", 30)
     assert 10 <= len(sample) <= 60 and set(sample["language"]) == {"en", "pt"}
+
+
+def test_phrases():
+    many = L.Phrases([f"genre {k}" for k in range(1500)] + ["Música Lenta", "r&b", "hip-hop"])
+    assert many.blank("some genre 1499, MUSICA LENTA and R & B or hip-hop.").split() == ["some", ",", "and", "or", "."]
+    assert many.blank("genre x") == "genre x" and L.Phrases([]).blank("any text") == "any text"

@@ -81,3 +81,11 @@ def test_edges(spark):
     assert rows(found, "id", "item") == [(3, 1), (3, 1), (4, 1)]
     assert L.find_leaks(spark.createDataFrame([], "id long, body string"), "id", "body", spark.createDataFrame(items, "item long, q string"), "item", "q").count() == 0
     assert L.find_leaks(spark.createDataFrame(docs, "id long, body string"), "id", "body", spark.createDataFrame([], "item long, q string"), "item", "q").count() == 0
+
+
+def test_item_tables_find_the_same(spark):
+    """A set too large to be sent meets the documents by a shuffle, with the same result."""
+    items, docs, _ = planted(n_docs=120)
+    docs += [(997, items[0][1]), (998, None), (999, ""), (997, items[0][1])]
+    find = lambda sent: rows(L.find_leaks(spark.createDataFrame(docs, "id long, body string"), "id", "body", spark.createDataFrame(items, "item long, q string"), "item", "q", sent=sent).selectExpr("id", "item", "round(share, 9)"))
+    assert find(3) == find(5000) != []

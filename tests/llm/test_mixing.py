@@ -43,6 +43,17 @@ def test_shares_and_repeats(spark):
     assert mixed.exceptAll(other).count() > 0
 
 
+def test_bundles_of_shards(spark):
+    """Shards without a bound, apportioned in few bundles: shares and repeats hold as with one bundle a shard."""
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    for bundles in (1, 3, 4096):
+        mixed = M.mixture(docs(spark), "doc_id", "text", "source", targets, shard=1500, block=16, bundles=bundles).cache()
+        got = {r["source"]: r for r in M.shares(mixed, targets).collect()}
+        assert all(abs(r["actual_share"] - r["target_share"]) < 0.03 and r["most_copies"] <= r["max_repeats"] for r in got.values())
+    quotas = M.plan_quotas([("a", k, 1000, 10) for k in range(5000)] + [("b", 0, 10, 1)], {"a": (0.5, 1), "b": (0.5, 9)}, 100)
+    assert sum(q for s, _, q in quotas if s == "a") <= 2 and len(quotas) == 5001
+
+
 def test_tokens_are_those_of_the_vocabulary(spark):
     import base64
 

@@ -15,6 +15,8 @@ TAG_WRAPPERS = ["modern", "female", "80s", "love", "best", "of", "classic", "cla
 SOURCE_WRAPPERS = ["paid", "media", "found", "on", "the", "by", "monthly", "incoming", "saw", "in", "next", "door", "see", "notes", "a", "our", "via", "from", "at", "my", "of", "through", "made"]
 
 VOWELS = "[aeiou]"
+#: Words of an entry up to which every choice of them is a form.
+ALL_SUBSETS = 10
 
 
 def tokens(c: Column) -> Column:
@@ -51,9 +53,10 @@ def slips(edits: Column, a: Column, b: Column) -> Column:
 def reference_forms(reference: DataFrame, entry: str, subsets: bool) -> DataFrame:
     """(canonical, form, k, cost): the ways in which an entry may be written, before any typing error.
 
-    Its words in turned and reversed order, some of its words only (if `subsets`), one word cut to its first letters or
+    Its words in turned and reversed order, some of its words only (if `subsets`; of more than ALL_SUBSETS words, all or all but one), one word cut to its first letters or
     without its inner vowels, all words without vowels, and leading words as initials. A form that fits several
-    entries equally well names none and is left out.
+    entries equally well names none and is left out. An entry as a whole may be of any length; a part of it has three letters or more, an abbreviation five,
+    as shorter ones would be met by chance.
     """
     def cut_to(letters: int) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda p: F.array_join(F.transform("w", lambda x, i: F.when(i == p, F.substring(x, 1, letters)).otherwise(x)), ""))
@@ -62,22 +65,27 @@ def reference_forms(reference: DataFrame, entry: str, subsets: bool) -> DataFram
     whole = F.filter(F.transform(F.split(fold_marks(F.col(entry)), r"\s+"), lambda x: F.regexp_replace(x, "[^a-z0-9]", "")), lambda x: x != "")
     base = reference.filter(F.col(entry).isNotNull()).select(F.col(entry).alias("canonical"), F.explode(F.array_distinct(F.array(tokens(F.col(entry)), whole))).alias("w")).filter(F.size("w") > 0)
     n = F.size("w")
-    masks = F.sequence(F.lit(1), (F.pow(F.lit(2), n) - 1).cast("int")) if subsets else F.array((F.pow(F.lit(2), n) - 1).cast("int"))
-    chosen = base.select("canonical", n.alias("n"), "w", F.explode(masks).alias("mask")).select(
-        "canonical", "n", F.filter("w", lambda x, i: F.expr("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0).alias("w")
-    )
+    chosen = base.select("canonical", n.alias("n"), "w")
+    if subsets:
+        masks = F.sequence(F.lit(1), (F.pow(F.lit(2), n) - 1).cast("int"))
+        short = chosen.filter(F.size("w") <= ALL_SUBSETS).select("canonical", "n", "w", F.explode(masks).alias("mask")).select(
+            "canonical", "n", F.filter("w", lambda x, i: F.expr("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0).alias("w")
+        )
+        without = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.filter("w", lambda x, i: i != p))
+        long = chosen.filter(F.size("w") > ALL_SUBSETS).select("canonical", "n", F.explode(F.concat(F.array("w"), without)).alias("w"))
+        chosen = short.unionByName(long)
     turned = chosen.select("canonical", "n", F.posexplode(F.array(F.col("w"), F.reverse("w"))).alias("back", "w")).select("canonical", "n", "w", "back", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("r"))
     moved = F.when((F.col("back") == 0) & (F.col("r") == 0), 0.0).otherwise(0.1)
     ordered = turned.select("canonical", "n", F.concat(F.expr("slice(w, r + 1, size(w))"), F.expr("slice(w, 1, r)")).alias("w"), moved.alias("moved")).groupBy("canonical", "n", "w").agg(F.min("moved").alias("moved"))
     missing = (F.col("n") - F.size("w")) * F.lit(0.2) + F.col("moved")
-    bare = lambda x: F.concat(F.substring(x, 1, 1), F.regexp_replace(F.substring(x, 2, 100), VOWELS, ""))
+    bare = lambda x: F.concat(F.substring(x, 1, 1), F.regexp_replace(F.regexp_replace(x, "^.", ""), VOWELS, ""))
     cut_one = [cut_to(q) for q in (1, 2, 3, 4, 5)]
     bare_one = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda p: F.array_join(F.transform("w", lambda x, i: F.when(i == p, bare(x)).otherwise(x)), ""))
     bare_all = F.array(F.array_join(F.transform("w", bare), ""))
     initials = F.array(F.array_join(F.transform("w", lambda x, i: F.when(i < F.size("w") - 1, F.substring(x, 1, 1)).otherwise(x)), ""))
-    spelled = ordered.select("canonical", F.array_join("w", "").alias("form"), missing.alias("cost"), F.lit(False).alias("short"))
+    spelled = ordered.filter((F.size("w") == F.col("n")) | (F.length(F.array_join("w", "")) >= 3)).select("canonical", F.array_join("w", "").alias("form"), missing.alias("cost"), F.lit(False).alias("short"))
     shortened = ordered.select("canonical", F.explode(F.concat(*cut_one, bare_one, bare_all, initials)).alias("form"), (missing + 0.6).alias("cost"), F.lit(True).alias("short")).filter(F.length("form") >= 5)
-    forms = spelled.union(shortened).filter(F.length("form") >= 3).groupBy("form", "canonical").agg(F.min(F.struct("cost", "short")).alias("best"))
+    forms = spelled.union(shortened).groupBy("form", "canonical").agg(F.min(F.struct("cost", "short")).alias("best"))
     by_cost = Window.partitionBy("form").orderBy("best.cost", "canonical")
     ranked = forms.select("form", "canonical", "best.cost", "best.short", F.row_number().over(by_cost).alias("rank"), F.lead("best.cost").over(by_cost).alias("next"))
     limit = F.when(F.col("short"), limit_for_short(F.length("form"))).otherwise(limit_for(F.length("form")))
@@ -113,7 +121,7 @@ def map_values(values: DataFrame, reference: DataFrame, entry: str, wrappers: li
     all_values = values.filter(F.col("value").isNotNull()).select("value").distinct()
     # Few bytes, but each value asks with some hundred substrings: without this, one task would make them all.
     typed = spread(value_forms(all_values, wrappers, synonyms or {}), "value", "typed")
-    near = typed.withColumn("len", F.length("typed")).select("*", F.explode(F.sequence(F.greatest(F.lit(3), F.col("len") - 4), F.col("len") + 4)).alias("L"))
+    near = typed.withColumn("len", F.length("typed")).select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("len") - 4), F.col("len") + 4)).alias("L"))
     asked = near.select("*", F.explode(F.array_distinct(F.array(limit_for(F.col("L")), limit_for_short(F.col("L"))))).alias("k")).filter("abs(len - L) <= k")
     asked = asked.select("*", F.explode(F.expr("sequence(0, k)")).alias("i")).select("*", F.explode(F.expr("sequence(-k, k)")).alias("shift"))
     asked = asked.withColumn("at", F.expr("(i * L) div (k + 1) + 1 + shift")).withColumn("size", F.expr("((i + 1) * L) div (k + 1) - (i * L) div (k + 1)")).filter("at >= 1 AND at + size - 1 <= len")

@@ -33,15 +33,32 @@ def label_language(c: Column) -> Column:
 SHORT_FORM = re.compile(r"\b(?:pt|mr|mrs|ms|dr|sr|sra|vol|st|feat)\.\s*$", re.IGNORECASE)
 
 
-def phrase_pattern(phrases: list[str]) -> re.Pattern | None:
-    """A pattern of phrases that are of no language, such as tags, as they are or without marks of letters."""
-    plain = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
-    every = sorted({y for x in phrases for y in (x.lower(), plain(x.lower())) if y.strip()}, key=lambda x: (-len(x), x))
-    return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, every)) + r")(?!\w)", re.IGNORECASE) if every else None
-
-
-def sentences(text: str | None, blanked: re.Pattern | None = None) -> list[tuple[int, int, str]]:
-    """(start, end, cleaned text) of the sentences of a text; tags, entities, addresses, quoted titles and what `blanked` fits are blanked out."""
+class Phrases:
+    """Phrases that are of no language, such as tags, as they are or without marks of letters; found word by word, so their number doesn't matter."""
+
+    def __init__(self, phrases: list[str]) -> None:
+        plain = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+        self.known = {words for x in phrases for y in (x.lower(), plain(x.lower())) if (words := tuple(re.findall(r"\w+", y)))}
+        self.lengths: dict[str, list[int]] = {}
+        for words in self.known:
+            self.lengths.setdefault(words[0], []).append(len(words))
+        self.lengths = {w: sorted(set(n), reverse=True) for w, n in self.lengths.items()}
+
+    def blank(self, text: str) -> str:
+        """The text with the longest phrase at each place blanked out."""
+        spans = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+        out, at, k = [], 0, 0
+        while k < len(spans):
+            n = next((n for n in self.lengths.get(spans[k][0], ()) if tuple(w for w, _, _ in spans[k : k + n]) in self.known), 0)
+            if n:
+                out += [text[at : spans[k][1]], " "]
+                at = spans[k + n - 1][2]
+            k += n or 1
+        return "".join([*out, text[at:]]) if out else text
+
+
+def sentences(text: str | None, blanked: Phrases | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, cleaned text) of the sentences of a text; tags, entities, addresses, quoted titles and the phrases in `blanked` are blanked out."""
     if not text:
         return []
     found, at = [], 0
@@ -51,7 +68,7 @@ def sentences(text: str | None, blanked: re.Pattern | None = None) -> list[tuple
             continue
         clean = re.sub(r"<[^<>]{0,200}>|https?://\S+|www\.\S+", " ", html.unescape(part))
         if blanked:
-            clean = blanked.sub(" ", clean)
+            clean = blanked.blank(clean)
         untitled = re.sub(r"“[^“”]{1,60}”|\"[^\"]{1,60}\"|«[^«»]{1,60}»|\*[^*]{1,60}\*", " ", clean)
         clean = re.sub(r"\s+", " ", untitled if any(ch.isalpha() for ch in untitled) else clean).strip().lower()
         if any(ch.isalpha() for ch in clean):
@@ -165,7 +182,7 @@ def labelled_sample(documents: DataFrame, doc_id: str, text: str, lang: str, sam
     return taken.toPandas().sort_values("id").groupby("language").head(sample)[["text", "language"]]
 
 
-def train(sample: pd.DataFrame, blanked: re.Pattern | None = None) -> ByteNet | None:
+def train(sample: pd.DataFrame, blanked: Phrases | None = None) -> ByteNet | None:
     """A network fitted to the sentences of the sample, in two passes: the second leaves out sentences that the first is sure are labelled wrongly."""
     pairs = [(s, LANGUAGES.index(r.language)) for r in sample.itertuples() for _, _, s in sentences(r.text, blanked) if sum(map(str.isalpha, s)) >= LETTERS]
     if not pairs:
@@ -181,7 +198,7 @@ def train(sample: pd.DataFrame, blanked: re.Pattern | None = None) -> ByteNet |
     return net
 
 
-def _classified(net: ByteNet, blanked: re.Pattern | None = None):
+def _classified(net: ByteNet, blanked: Phrases | None = None):
     """(document, start, end, letters, log probabilities) of the sentences of a list of texts."""
 
     def run(texts: list) -> tuple[list, np.ndarray]:
@@ -197,7 +214,7 @@ def _classified(net: ByteNet, blanked: re.Pattern | None = None):
     return run
 
 
-def document_segments(documents: DataFrame, doc_id: str, text: str, net: ByteNet | None, blanked: re.Pattern | None = None) -> DataFrame:
+def document_segments(documents: DataFrame, doc_id: str, text: str, net: ByteNet | None, blanked: Phrases | None = None) -> DataFrame:
     """(doc_id, segment, start_char, end_char, language, confidence): runs of sentences of one language, in order.
 
     A sentence the network isn't sure of has the likeliest of the languages it is sure of elsewhere in the document; one of fewer than LETTERS letters
@@ -247,8 +264,7 @@ def _segments(ids: list, found: list, p: np.ndarray) -> list[tuple]:
 
 def wrong_labels(documents: DataFrame, segments: DataFrame, doc_id: str, lang: str) -> DataFrame:
     """(doc_id, language) for documents whose label doesn't name their language or that mix languages: a row for each language of theirs."""
-    spoken = segments.select(doc_id, "language").distinct()
-    labels = documents.select(doc_id, label_language(F.col(lang)).alias("label"))
-    summary = spoken.groupBy(doc_id).agg(F.count("*").alias("n"), F.min("language").alias("one")).join(labels, doc_id)
-    wrong = summary.filter((F.col("n") > 1) | F.col("label").isNull() | (F.col("label") != F.col("one"))).select(doc_id)
-    return spoken.join(wrong, doc_id, "left_semi")
+    spoken = segments.groupBy(doc_id).agg(F.collect_set("language").alias("spoken"))  # as many as there are LANGUAGES, at most
+    labelled = spoken.join(documents.select(doc_id, label_language(F.col(lang)).alias("label")), doc_id)
+    wrong = labelled.filter((F.size("spoken") > 1) | F.col("label").isNull() | (F.col("label") != F.col("spoken")[0]))
+    return wrong.select(doc_id, F.explode("spoken").alias("language")).distinct()

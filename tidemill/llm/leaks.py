@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import fold_marks
 from tidemill.operators.skew import spread_few
+from tidemill.session import cut
 
 #: Words of a window and the step between windows of a document. More than half of an item of 25 words or more holds a whole window.
 WINDOW, STEP = 10, 2
@@ -18,8 +19,8 @@ WINDOW, STEP = 10, 2
 REPEATS, SAMPLED = 8, 9
 #: Diagonals on each side of a hit that the exact check follows, and what an altered, missing or added word costs it.
 BAND, COST = 10, 2
-#: Items that are searched for in one pass; a larger set is searched for in blocks.
-BLOCK = 5000
+#: Items that are sent to where the documents lie; a larger set is a table of its own, and meets the documents by a shuffle of keys.
+SENT = 5000
 PAD = np.int64(0)
 
 
@@ -117,26 +118,65 @@ def best_stretch(item: np.ndarray, i0: np.ndarray, i1: np.ndarray, doc: np.ndarr
     return span
 
 
-def find_leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, more_than: float = 0.5) -> DataFrame:
+def find_leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, more_than: float = 0.5, sent: int = SENT) -> DataFrame:
     """(doc_id, item_id, share) of documents that hold more than `more_than` of an item's words in one stretch.
 
-    The items are the query set; they are searched for in blocks of BLOCK, so what is sent to the executors is bounded. Their windows at every place and
-    those of the documents at every STEP-th are embedded and sampled; a document that shares a key with an item is aligned with it along the diagonal of the
-    hit. All this happens where the document lies: nothing is shuffled, and no document is compared with all items.
+    Windows of items at every place and those of the documents at every STEP-th are embedded and sampled; a document that shares a key with an item is aligned with it along
+    the diagonal of the hit. Up to `sent` items are sent to where the documents lie, and nothing is shuffled; more items are a table, whose keys meet those of the documents by a
+    shuffle, each pair of document, item and diagonal being aligned once. No document is compared with all items, and both ways find the same.
     NULL or empty texts and items hold nothing; repeated documents are each reported; whole texts are read, whatever their length.
     """
     words = spread_few(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isNotNull()), "doc_id").select("doc_id", text_words(F.col("text")).alias("w"))
     asked = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), text_words(F.col(item_text)).alias("w")).filter(F.size("w") > 0)
-    blocks = max(1, -(-asked.count() // BLOCK))
     kinds = f"doc_id {dict(documents.dtypes)[doc_id]}, item_id {dict(items.dtypes)[item_id]}, share double"
-    found = None
-    for b in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        part = words.mapInPandas(_search([r["item_id"] for r in rows], [np.array(r["w"], np.int64) for r in rows], more_than), kinds)
-        found = part if found is None else found.unionByName(part)
+    few = asked.limit(sent + 1).collect()
+    if len(few) <= sent:
+        found = words.mapInPandas(_search([r["item_id"] for r in few], [np.array(r["w"], np.int64) for r in few], more_than), kinds)
+    else:
+        found = _join_by_keys(cut(words), cut(asked), more_than, kinds)
     return found.withColumnsRenamed({"doc_id": doc_id, "item_id": item_id})
 
 
+def _keys_of(step: int):
+    """(row, at, key) of the windows of every text of a batch, `row` being its number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walks = Walks()
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                words, begins = _flat(list(part["w"]))
+                starts, rows = _windows(begins, WINDOW, step)
+                for k, key in enumerate(walks.keys(words, starts)):
+                    # The number of the walk is part of the key: each samples places of its own.
+                    yield pd.DataFrame({"no": part["no"].to_numpy()[rows], "at": starts - begins[rows], "key": key * np.int64(31) + np.int64(k)})
+
+    return run
+
+
+def _join_by_keys(words: DataFrame, asked: DataFrame, more_than: float, kinds: str) -> DataFrame:
+    """find_leaks for item sets of any size: only keys, numbers and places are shuffled, and words only of pairs that share a key."""
+    docs = cut(words.withColumn("no", F.monotonically_increasing_id()))
+    known = cut(asked.withColumn("no", F.monotonically_increasing_id()))
+    found = docs.select("no", "w").mapInPandas(_keys_of(STEP), "no long, at int, key long").withColumnsRenamed({"no": "doc", "at": "doc_at"})
+    wanted = cut(known.select("no", "w").mapInPandas(_keys_of(1), "no long, at int, key long").withColumnsRenamed({"no": "item", "at": "item_at"}).distinct())
+    # A document may hold a key at many places and an item too: what counts is the diagonal, reduced before and after they meet.
+    met = found.join(wanted, "key").select("doc", "item", F.floor((F.col("doc_at") - F.col("item_at")) / F.lit(BAND)).alias("band")).distinct()
+    paired = met.join(docs.select(F.col("no").alias("doc"), "doc_id", F.col("w").alias("doc_words")), "doc").join(known.select(F.col("no").alias("item"), "item_id", F.col("w").alias("item_words")), "item")
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                part = batch.iloc[at : at + 2000]
+                doc, d = _flat(list(part["doc_words"]))
+                item, i = _flat(list(part["item_words"]))
+                share = best_stretch(item, i[:-1], i[1:], doc, d[:-1], d[1:], part["band"].to_numpy() * BAND + BAND // 2) / np.diff(i)
+                yield part[["doc", "doc_id", "item_id"]].assign(share=share)[share > more_than]
+
+    kept = paired.select("doc", "doc_id", "item_id", "band", "doc_words", "item_words").mapInPandas(align, f"doc long, {kinds}")
+    return kept.groupBy("doc", "doc_id", "item_id").agg(F.max("share").alias("share")).drop("doc")
+
+
 def _search(ids: list, item_words: list, more_than: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         walks = Walks()

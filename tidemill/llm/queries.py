@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import canonical, components, languages, leaks, linkage, mixing, people, survivors
 from tidemill.plans.registry import Registry
+from tidemill.session import cut
 from tidemill.sources.tables import Tables
 
 R = Registry()
@@ -140,9 +141,20 @@ def p9_shares(t: Tables) -> DataFrame:
     return mixing.shares(mixing.mixture(t.documents, "doc_id", "text", "source", t.mix_targets), t.mix_targets)
 
 
+@R.query("p9_bounds", "SELECT source, target_share, true AS share_is_met, true AS repeats_are_kept, true AS documents_are_of_source FROM mix_targets")
+def p9_bounds(t: Tables) -> DataFrame:
+    """What must hold of the mixture: shares within half a percent, no document more often than allowed, all of the source they are counted for."""
+    mixed = cut(mixing.mixture(t.documents, "doc_id", "text", "source", t.mix_targets))
+    owners = t.documents.select("doc_id", F.col("source").alias("owner"))
+    strange = mixed.join(owners, "doc_id").groupBy("source").agg(F.count_if(F.col("owner") != F.col("source")).alias("strange"))
+    found = mixing.shares(mixed, t.mix_targets).join(strange, "source", "left")
+    met = F.abs(F.col("actual_share") - F.col("target_share")) < 0.005
+    return found.select("source", "target_share", met.alias("share_is_met"), (F.col("most_copies") <= F.col("max_repeats")).alias("repeats_are_kept"), (F.coalesce("strange", F.lit(0)) == 0).alias("documents_are_of_source"))
+
+
 def _segments(t: Tables) -> DataFrame:
-    # Genre tags count for no language; the list is fixed and short.
-    tags = languages.phrase_pattern([r["canonical_genre"] for r in t.ref_genre.select("canonical_genre").limit(1000).collect() if r["canonical_genre"]])
+    # Genre tags count for no language. The whole list is sent with the network: it is a reference list, not data.
+    tags = languages.Phrases([r["canonical_genre"] for r in t.ref_genre.select("canonical_genre").collect() if r["canonical_genre"]])
     net = languages.train(languages.labelled_sample(t.documents, "doc_id", "text", "lang"), tags)
     return languages.document_segments(t.documents, "doc_id", "text", net, tags)
 
