@@ -195,3 +195,8 @@ def group_purity(members: DataFrame, truth: DataFrame) -> DataFrame:
     """(group_id, truth): the one truth of a group's records, NULL where they have several or none."""
     joined = members.join(truth, "record_id", "left")
     return joined.groupBy("group_id").agg(F.count_distinct("truth").alias("n"), F.min("truth").alias("t")).select("group_id", F.when(F.col("n") == 1, F.col("t")).alias("truth"))
+
+
+def quality_by(judged: DataFrame, keys: list[str], ok: str) -> DataFrame:
+    """(keys, pairs, right_pairs, precision_) of judged pairs by stage, method or whatever keys name."""
+    return judged.groupBy(*keys).agg(F.count("*").alias("pairs"), F.count_if(F.col(ok)).alias("right_pairs")).withColumn("precision_", ratio(F.col("right_pairs"), F.col("pairs")))

@@ -89,3 +89,51 @@ def last_of_year(df: DataFrame, month: str) -> DataFrame:
     """The latest row of each year."""
     latest = df.groupBy(F.year(month).alias("year")).agg(F.max(month).alias(month))
     return df.join(F.broadcast(latest), month)
+
+
+def lifetime_heatmap(years: DataFrame, name: str, n: int) -> DataFrame:
+    """(name, year, share) of the n names with most plays in every year from the first to the last: the share of the name's own plays, 0 in years without any.
+
+    years: name, listening_year, scrobbles.
+    """
+    top = F.broadcast(top_names(years, name, "scrobbles", n))
+    cells = years.join(top, name).groupBy(name, "listening_year").agg(F.sum("scrobbles").alias("scrobbles"))
+    total = cells.groupBy(name).agg(F.sum("scrobbles").alias("_t"))
+    whole = dense(cells, top, year_range(years, "listening_year"), [name, "listening_year"], ["scrobbles"]).join(F.broadcast(total), name)
+    return whole.select(name, "listening_year", ratio(F.col("scrobbles"), F.col("_t")).alias("lifetime_share"))
+
+
+def season_matrix(seasons: DataFrame, name: str, weight: str, value: str, n: int) -> DataFrame:
+    """One row per name of the n with the largest weight, with the value of each season (R05). seasons: name, season_order, weight, value."""
+    top = F.broadcast(top_names(seasons, name, weight, n))
+    named = {"1": "summer", "2": "autumn", "3": "winter", "4": "spring"}
+    return seasons.join(top, name).groupBy(name).pivot("season_order", [1, 2, 3, 4]).agg(F.first(value)).withColumnsRenamed(named)
+
+
+def season_year_cells(season_years: DataFrame, n: int, least_plays: int, least_support: float, whole_only: bool) -> DataFrame:
+    """(season_year, canonical_genre, season_order, shown) for the n best genres of each season-year with least_plays covered plays or more.
+
+    shown is NULL where a genre has less than least_support weighted plays in the year: too few for a share to mean anything. whole_only: only years with all months and seasons.
+    """
+    kept = season_years.filter((F.col("season_year_total_scrobbles") >= least_plays) & (F.col("genre_rank_in_season_year") <= n))
+    kept = kept.filter("is_full_season_year") if whole_only else kept
+    shown = F.when(F.col("season_year_genre_weighted_scrobbles") >= least_support, F.col("seasonality_index_season_year"))
+    return kept.select("season_year", "canonical_genre", "season_order", shown.alias("shown"))
+
+
+def decade_window(yearly: DataFrame, first: int, last: int) -> DataFrame:
+    """Plays, share and coverage of each release decade over the years from first to last (R19). yearly: by_decade of listening_year.
+
+    Coverage is counted once a year, not once a decade of it; the shares are of the plays with a known decade.
+    """
+    window = yearly.filter(F.col("listening_year").between(first, last))
+    years = window.select("listening_year", "year_release_year_covered_scrobbles", "year_total_scrobbles").distinct()
+    covered = years.agg(F.sum("year_release_year_covered_scrobbles").alias("_c"), F.sum("year_total_scrobbles").alias("_t"))
+    decades = window.groupBy("release_decade").agg(F.sum("scrobble_count").alias("scrobbles")).crossJoin(F.broadcast(covered))
+    return decades.select("release_decade", "scrobbles", ratio(F.col("scrobbles"), F.col("_c")).alias("share"), ratio(F.col("_c"), F.col("_t")).alias("coverage"))
+
+
+def ratios_by_size(df: DataFrame, size: str, parts: dict[str, str], edges: list[float], labels: list[str]) -> DataFrame:
+    """(bucket, n, <name>...) of the median of each part / size by bucket of size (R13). parts: name -> column."""
+    medians = [F.median(ratio(F.col(c), F.col(size))).alias(name) for name, c in parts.items()]
+    return df.groupBy(bucket(F.col(size), edges, labels).alias("bucket")).agg(F.count("*").alias("n"), *medians)

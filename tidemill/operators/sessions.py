@@ -69,3 +69,27 @@ def sweep_sessions(events: DataFrame, user: str, at: str, event_id: str, gap_min
         F.timestamp_micros("last.t").cast("timestamp_ntz").alias("session_end"),
         ((F.col("last.t") - F.col("first.t")) / F.lit(1e6)).alias("duration_seconds"),
     )
+
+
+def session_content(sessions: DataFrame, events: DataFrame, user: str, at: str, event_id: str, contents: list[str]) -> DataFrame:
+    """sessions of sweep_sessions with session_number, session_id and, for each of contents, distinct_<name>: how many of it the session holds (Q12).
+
+    Numbers count up from 1 within a user in order of start. Events find their session by user, day and time, so a user with a third of all rows is spread over days; a session
+    stands under each day it touches, and of one user's sessions on a day only few overlap a given time: the bounds decide.
+    NULL users form one group; NULL contents aren't counted.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    day = lambda c: F.floor(c / F.lit(DAY))
+    known = sessions.select(F.col(user).alias("u"), "*", micros("session_start").alias("a"), micros("session_end").alias("b")).withColumn("key", F.xxhash64(F.col("u").isNull(), "u"))
+    # Numbering in two steps: how many sessions a user's earlier days have, then the place within the day.
+    daily = known.groupBy("key", day(F.col("a")).alias("d")).agg(F.count("*").alias("n"))
+    before = daily.withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("d")) - F.col("n")).select("key", "d", "before")
+    numbered = known.withColumn("d", day(F.col("a"))).join(before, ["key", "d"])
+    place = F.row_number().over(Window.partitionBy("key", "d").orderBy("a", "first_event_id"))
+    numbered = numbered.withColumn("session_number", F.col("before") + place).drop("before", "d")
+    once = events.filter(F.col(at).isNotNull() & F.col(event_id).isNotNull()).select(F.xxhash64(F.col(user).isNull(), user).alias("key"), micros(at).alias("t"), *contents)
+    spans = numbered.select("key", "session_number", "a", "b", F.explode(F.sequence(day(F.col("a")), day(F.col("b")))).alias("d"))
+    held = once.withColumn("d", day(F.col("t"))).join(spans, ["key", "d"]).filter("t BETWEEN a AND b").groupBy("key", "session_number").agg(*[F.count_distinct(c).alias(f"distinct_{c.removesuffix('_id')}s") for c in contents])
+    start = F.date_format("session_start", "yyyy-MM-dd HH:mm:ss")
+    named = numbered.join(held, ["key", "session_number"]).withColumn("session_id", F.md5(F.concat(F.col("session_number").cast("string"), F.lit("|"), start)))
+    return named.drop("key", "a", "b", "u")

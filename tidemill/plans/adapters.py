@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.operators.warehouse import plays_once
+from tidemill.session import cut
 from tidemill.sources.tables import Tables
 
 
@@ -16,7 +17,14 @@ def draw(key: str, salt: str) -> Column:
 
 def plays(t: Tables) -> DataFrame:
     """Each play of the fact once."""
-    return plays_once(t.fact_scrobble)
+    return t.kept.get("plays", plays_once(t.fact_scrobble))
+
+
+def written_plays(t: Tables) -> DataFrame:
+    """plays, written once for all steps of a query that read them several times."""
+    if "plays" not in t.kept:
+        t.kept["plays"] = cut(plays_once(t.fact_scrobble))
+    return t.kept["plays"]
 
 
 def artists(t: Tables) -> DataFrame:

@@ -191,13 +191,13 @@ _GENRE_OUT = f"canonical_genre, {_sql6('weighted_scrobbles', 'genre_share', 'gen
 
 def genre_months(t: Tables) -> DataFrame:
     """Genres by month."""
-    return W.genre_by(A.plays(t), weights(t), month_start(F.col("listening_date")), "month_start")
+    return W.genre_by(A.written_plays(t), weights(t), month_start(F.col("listening_date")), "month_start")
 
 
 @R.query("genre_yearly", _GENRE("CAST(listening_year AS INTEGER)", "listening_year") + f" SELECT listening_year_ AS listening_year, {_GENRE_OUT}")
 def genre_yearly(t: Tables) -> DataFrame:
     """Q13."""
-    return _six(W.genre_by(A.plays(t), weights(t), F.col("listening_year"), "listening_year"), "weighted_scrobbles", "genre_share", "genre_coverage")
+    return _six(W.genre_by(A.written_plays(t), weights(t), F.col("listening_year"), "listening_year"), "weighted_scrobbles", "genre_share", "genre_coverage")
 
 
 @R.query("genre_monthly", _GENRE("CAST(date_trunc('month', listening_date) AS DATE)", "month") + f" SELECT month_ AS month_start, {_GENRE_OUT}", dates=("month_start",))
@@ -219,7 +219,7 @@ _SEASON_FLOATS = ["mean_genre_coverage", "mean_monthly_genre_share", "weighted_s
 
 def seasonality(t: Tables) -> DataFrame:
     """Seasonal shares of genres."""
-    latest = A.plays(t).agg(month_start(F.max("listening_date")).alias("latest"))
+    latest = A.written_plays(t).agg(month_start(F.max("listening_date")).alias("latest"))
     return W.genre_seasonality(genre_months(t), weights(t), latest)
 
 
@@ -246,7 +246,7 @@ _SY_FLOATS = ["season_genre_weighted_scrobbles", "season_covered_scrobbles", "se
 @R.query("genre_season_year", _SEASON_YEARS + f" SELECT * EXCLUDE ({', '.join(_SY_FLOATS)}), ['Summer', 'Autumn', 'Winter', 'Spring'][season_order] AS season_name, {_sql6(*_SY_FLOATS)} FROM season_years")
 def genre_season_year(t: Tables) -> DataFrame:
     """Q18; ranks of nearly equal weights aren't compared."""
-    return _six(W.genre_season_years(A.plays(t), weights(t)), *_SY_FLOATS).drop("genre_rank_in_season_year")
+    return _six(W.genre_season_years(A.written_plays(t), weights(t)), *_SY_FLOATS).drop("genre_rank_in_season_year")
 
 
 _TOP_GENRES = _SEASON_YEARS + """, placed AS (SELECT DISTINCT season_year, canonical_genre, season_year_genre_weighted_scrobbles AS w FROM season_years WHERE is_full_season_year),
@@ -258,7 +258,7 @@ FROM ranked JOIN season_years USING (season_year, canonical_genre) WHERE genre_r
 @R.query("season_year_top_genres", _TOP_GENRES)
 def season_year_top_genres(t: Tables) -> DataFrame:
     """The ten best ranked genres of whole season-years with enough support, by season."""
-    whole = W.genre_season_years(A.plays(t), weights(t)).filter("is_full_season_year AND genre_rank_in_season_year <= 10 AND season_year_genre_weighted_scrobbles >= 25")
+    whole = W.genre_season_years(A.written_plays(t), weights(t)).filter("is_full_season_year AND genre_rank_in_season_year <= 10 AND season_year_genre_weighted_scrobbles >= 25")
     return whole.groupBy("season_year", "canonical_genre", "genre_rank_in_season_year").pivot("season_order", [1, 2, 3, 4]).agg(rounded(F.first("season_share"))).withColumnsRenamed({"1": "summer", "2": "autumn", "3": "winter", "4": "spring"})
 
 
@@ -278,7 +278,7 @@ lifecycle AS (SELECT stats.*, artist_name, peak_year, peak_year_scrobbles, peak_
 @R.query("artist_lifecycle", _LIFE + " SELECT * FROM lifecycle", dates=("first_observed_date", "last_observed_date", "first_observed_month", "last_observed_month", "peak_month"))
 def artist_lifecycle(t: Tables) -> DataFrame:
     """Q16."""
-    return W.artist_lifecycle(A.plays(t), A.artists(t))
+    return W.artist_lifecycle(A.written_plays(t), A.artists(t))
 
 
 _YEARLY = _LIFE + """, totals AS (SELECT listening_year, count(*) AS year_total_scrobbles, count(DISTINCT listening_date) AS dataset_active_days FROM plays GROUP BY 1),
@@ -290,7 +290,7 @@ artist_years AS (SELECT ys.*, year_total_scrobbles, dataset_active_days, artist_
 
 def artist_years(t: Tables) -> DataFrame:
     """Years of artists."""
-    return W.artist_yearly(A.plays(t), W.artist_lifecycle(A.plays(t), A.artists(t)))
+    return W.artist_yearly(A.written_plays(t), W.artist_lifecycle(A.written_plays(t), A.artists(t)))
 
 
 @R.query("artist_yearly", _YEARLY + f" SELECT * REPLACE (floor(year_scrobble_share * 1e6 + 0.5) / 1e6 AS year_scrobble_share, floor(artist_lifetime_share * 1e6 + 0.5) / 1e6 AS artist_lifetime_share) FROM artist_years")
@@ -323,7 +323,7 @@ _DEC_FLOATS = ["release_year_coverage", "release_year_dataset_coverage", "share_
     FROM (SELECT *, release_decade || 's' AS release_decade_label, rank() OVER (ORDER BY scrobble_count DESC, release_decade) AS decade_rank, release_year_covered_scrobbles::DOUBLE / scrobbles_with_album AS a, release_year_covered_scrobbles::DOUBLE / total_scrobbles AS b, scrobble_count::DOUBLE / release_year_covered_scrobbles AS c, scrobble_count::DOUBLE / scrobbles_with_album AS d, scrobble_count::DOUBLE / total_scrobbles AS e FROM stats CROSS JOIN cover)""")
 def decade(t: Tables) -> DataFrame:
     """Q21."""
-    return _six(W.by_decade(A.plays(t), releases(t)), *_DEC_FLOATS)
+    return _six(W.by_decade(A.written_plays(t), releases(t)), *_DEC_FLOATS)
 
 
 _DECY_FLOATS = ["release_year_coverage", "release_year_dataset_coverage", "decade_share_within_resolved_year", "decade_share_within_full_year"]
@@ -333,4 +333,4 @@ _DECY_FLOATS = ["release_year_coverage", "release_year_dataset_coverage", "decad
     FROM (SELECT *, release_decade || 's' AS release_decade_label, rank() OVER (PARTITION BY listening_year ORDER BY scrobble_count DESC, release_decade) AS decade_rank_in_year, months_observed = 12 AS is_full_calendar_year, year_release_year_covered_scrobbles::DOUBLE / year_scrobbles_with_album AS a, year_release_year_covered_scrobbles::DOUBLE / year_total_scrobbles AS b, scrobble_count::DOUBLE / year_release_year_covered_scrobbles AS c, scrobble_count::DOUBLE / year_total_scrobbles AS d FROM stats JOIN cover USING (listening_year))""", dates=("first_listening_date", "last_listening_date"))
 def decade_yearly(t: Tables) -> DataFrame:
     """Q22."""
-    return _six(W.by_decade(A.plays(t), releases(t), "listening_year"), *_DECY_FLOATS)
+    return _six(W.by_decade(A.written_plays(t), releases(t), "listening_year"), *_DECY_FLOATS)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,10 +116,16 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """One CSV file with a header, in order: for short reports."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header, in order, outer blanks kept (K03, O02). Rows are sorted by ranges: the files, read in order of their names, are sorted as a whole."""
+    df.orderBy(*order).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_metrics(row: DataFrame, path: str) -> None:
-    """A one-row table as a JSON object."""
-    Path(path).write_text(json.dumps(row.first().asDict(), default=str, indent=2))
+    """A one-row table as one JSON file, through the file system that the path names, so not only on the driver's disk."""
+    spark = row.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(json.dumps(row.first().asDict(), default=str, indent=2).encode()))
+    finally:
+        out.close()

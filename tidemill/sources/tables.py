@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Tables:
-    """`Tables(spark, folder).orders` reads folder/orders.parquet; nothing is read until an action."""
+    """`Tables(spark, folder).orders` reads folder/orders.parquet; nothing is read until an action. kept: what one query has written for its own later steps."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        self.kept: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
