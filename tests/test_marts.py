@@ -65,3 +65,13 @@ def test_heat_maps(spark):
     assert rows(V.decade_window(yearly, 2020, 2021)) == [(1990, 4, 0.8, 0.25), (2000, 1, 0.2, 0.25)]
     sizes = spark.createDataFrame([(1, 1), (4, 2), (4, 4)], "n int, a int")
     assert rows(V.ratios_by_size(sizes, "n", {"r": "a"}, [1, 5], ["1", "2-5", "6+"])) == [("1", 1, 1.0), ("2-5", 2, 0.75)]
+
+
+def test_queries_register_without_a_session():
+    """The entry is read before any session begins."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, timeout=120).returncode == 0

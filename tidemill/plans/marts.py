@@ -93,11 +93,11 @@ def decade_window(t: Tables) -> DataFrame:
     return L._six(V.decade_window(cut(W.by_decade(A.written_plays(t), L.releases(t), "listening_year")), 2019, 2022), "share", "coverage")
 
 
-#: The public exports and their order.
+#: The public exports and their order; a minus stands before what descends.
 ORDERS = {
-    "overview": ["first_date"], "genre_yearly": ["listening_year", F.desc("weighted_scrobbles"), "canonical_genre"], "genre_monthly": ["month_start", F.desc("weighted_scrobbles"), "canonical_genre"],
+    "overview": ["first_date"], "genre_yearly": ["listening_year", "-weighted_scrobbles", "canonical_genre"], "genre_monthly": ["month_start", "-weighted_scrobbles", "canonical_genre"],
     "genre_seasonality": ["canonical_genre", "season_order"], "genre_season_year": ["season_year", "season_order", "canonical_genre"], "artist_yearly": ["listening_year", "artist_rank", "artist_name"],
-    "artist_lifecycle": [F.desc("total_scrobbles"), "artist_name"], "monthly_discovery": ["month_start"], "listening_by_hour": ["weekday_iso", "listening_hour"], "hour_by_month": ["month_start", "weekday_iso", "listening_hour"],
+    "artist_lifecycle": ["-total_scrobbles", "artist_name"], "monthly_discovery": ["month_start"], "listening_by_hour": ["weekday_iso", "listening_hour"], "hour_by_month": ["month_start", "weekday_iso", "listening_hour"],
     "decade": ["release_decade"], "decade_yearly": ["listening_year", "release_decade"], "listening_sessions": ["user_name", "session_number"],
 }
 _SQL = {name: (R if name in R.sql else D.R if name in D.R.sql else L.R).sql[name] for name in ORDERS}
@@ -110,7 +110,7 @@ def public_exports(t: Tables) -> DataFrame:
     built = C.build_tables(t.spark, f"{folder}/warehouse", {"plays": lambda _: A.plays(t), "weights": lambda _: L.weights(t), "releases": lambda _: L.releases(t)})
     t.kept["plays"] = built["plays"]
     makers = {name: (R if name in R.queries else D.R if name in D.R.queries else L.R).makers[name] for name in ORDERS}
-    names = C.export_all(f"{folder}/public", {name: (makers[name](t), order) for name, order in ORDERS.items()})
+    names = C.export_all(f"{folder}/public", {name: (makers[name](t), [F.desc(c[1:]) if c.startswith("-") else F.col(c) for c in order]) for name, order in ORDERS.items()})
     counted = [t.spark.read.parquet(f"{folder}/public/{name}.parquet").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name in names]
     whole = counted[0]
     for c in counted[1:]:
