@@ -1,11 +1,12 @@
-"""Common phones, addresses and zips lose no link: blocks are cut into tiles, not capped."""
+"""Common phones, addresses and zips lose no link and no match: blocks are cut into tiles, not capped."""
 
 import itertools
 import random
+from datetime import datetime, timedelta
 
 from tests.conftest import rows
-from tests.llm.test_people import PLAIN, crowd
-from tidemill.llm import people
+from tests.llm.test_people import CRM, MKT, PLAIN, crowd
+from tidemill.llm import linkage, people
 
 
 def linked(pairs, records):
@@ -52,3 +53,16 @@ def test_swapped_phones_meet(spark):
     records = people.prepared(df, "crm_record_id").cache()
     every = spark.createDataFrame(list(itertools.combinations([f"P{k:02}" for k in range(len(phones))], 2)), "a string, b string")
     assert linked(people.candidate_pairs(records, 1), records) == linked(every, records)
+
+
+def test_common_key_of_enquiries_loses_no_candidate(spark):
+    """Enquiries on one phone within a few days: every pair that shares it is a candidate, also where nothing else is alike."""
+    r = random.Random(2)
+    at = lambda k: datetime(2024, 1, 1) + timedelta(hours=k % 48)
+    word = lambda: "".join(r.choice("bcdfgklmnprstv") + r.choice("aeiou") for _ in range(3)).capitalize()
+    crm = [(f"C{k:03}", at(k), f"{word()} {word()}", f"{word()}{k}@a.test", "2125550101", f"{r.randrange(100000):05}", "s", 1) for k in range(350)]
+    mkt = [(f"M{k:03}", at(k), f"{word()} {word()}", f"{word()}{k}@b.test", "2125550101", f"{r.randrange(100000):05}", "s") for k in range(350)]
+    a = linkage.numbered(people.prepared(spark.createDataFrame(crm, CRM).withColumnRenamed("created_at", "at"), "crm_record_id", "service", "at"))
+    b = linkage.numbered(people.prepared(spark.createDataFrame(mkt, MKT).withColumnRenamed("captured_at", "at"), "marketing_record_id", "service", "at"))
+    assert linkage.candidates(a, b).count() == 350 * 350
+    assert linkage.candidates(a, b, 100).count() == 350 * 350

@@ -38,25 +38,22 @@ def fit_levels(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, roun
     return posterior
 
 
-def candidates(crm: DataFrame, marketing: DataFrame, common: int = people.COMMON) -> DataFrame:
-    """Distinct (a, b) that share a key of any pass and lie within WITHIN_DAYS of each other.
+def numbered(records: DataFrame) -> DataFrame:
+    """Records with a time, and a number `no` each."""
+    return cut(records.filter(F.col("at").isNotNull()).withColumn("no", F.monotonically_increasing_id()))
 
-    The passes are those of people.near_keys, each met only within neighbouring spans of WITHIN_DAYS: a span is part of the key. Records of both tables with a key are a block,
-    and common blocks are refined as those of one table are.
+
+def candidates(crm: DataFrame, marketing: DataFrame, tile: int = people.TILE) -> DataFrame:
+    """Distinct (a, b), numbers of all records of the two numbered tables that share a key of any pass and lie within WITHIN_DAYS of each other; the same for any tile.
+
+    The passes are those of people.near_keys, each met only within neighbouring spans of WITHIN_DAYS: a span is part of the key. No block is capped, see people.meet.
     """
     width = WITHIN_DAYS * 86_400_000_000
-    span = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / F.lit(width))
-    # Ids of the two systems may be alike: a letter keeps them apart.
-    tagged = lambda df, tag: df.withColumn("id", F.concat(F.lit(tag), "id"))
-    in_spans = lambda df, spans: people.near_keys(df).join(df.select("id", spans.alias("span")), "id")
-    left, right = tagged(crm.filter(F.col("at").isNotNull()), "a"), tagged(marketing.filter(F.col("at").isNotNull()), "b")
-    keys = in_spans(left, F.array(span)).unionByName(in_spans(right, F.array(span - 1, span, span + 1)))
-    keys = keys.select("id", "nameless", "kind", F.explode("span").alias("span"), "key").select("id", "nameless", "kind", F.xxhash64("key", "span").alias("key"))
-    parts = people.record_parts(left).unionByName(people.record_parts(right))
-    blocks, pivots = people.refined_blocks(keys, parts, common)
-    side = lambda tag: blocks.filter(F.col("id").startswith(tag)).select("key", F.col("id").alias(tag))
-    met = side("a").join(side("b"), "key").select("a", "b").union(pivots.filter(F.col("a").startswith("a") & F.col("b").startswith("b")).select("a", "b")).distinct()
-    return met.select(F.substring("a", 2, 1_000_000).alias("a"), F.substring("b", 2, 1_000_000).alias("b"))
+    at = F.unix_micros(F.col("at").cast("timestamp"))
+    span = F.floor(at / F.lit(width))
+    keyed = lambda df, of, spans: people.near_keys(df.withColumns({"id": F.col("no"), "at": at, "span": spans}), "at", "span").select("key", F.col("id").alias("no"), F.lit(of).alias("of"), "at", F.explode("span").alias("span"))
+    rows = keyed(crm, 0, F.array(span)).unionByName(keyed(marketing, 1, F.array(span - 1, span, span + 1))).select(F.xxhash64("key", "span").alias("key"), "no", "of", "at")
+    return people.meet(rows, f"abs(a_at - b_at) <= {width}", left="of = 0", right="of = 1", tile=tile)
 
 
 def match_records(crm_leads: DataFrame, marketing_leads: DataFrame, least: float = 0.5) -> DataFrame:
@@ -65,22 +62,22 @@ def match_records(crm_leads: DataFrame, marketing_leads: DataFrame, least: float
     With another mailbox, a match agrees in the name but for spelling, or in another field outright. Only counts of agreement patterns reach the driver; their number is bounded by the levels of the six fields. Records without an id or
     a time match none; missing fields count for neither side. Empty tables give no rows.
     """
-    a = cut(people.prepared(crm_leads.withColumn("at", F.col("created_at")), "crm_record_id", "service", "at"))
-    b = cut(people.prepared(marketing_leads.withColumn("at", F.col("captured_at")), "marketing_record_id", "service", "at"))
-    near = F.abs(F.unix_micros(F.col("a_at").cast("timestamp")) - F.unix_micros(F.col("b_at").cast("timestamp"))) <= WITHIN_DAYS * 86_400_000_000
-    both = people.compared(candidates(a, b), a, b, "service", "at", keep=near)
+    a = numbered(people.prepared(crm_leads.withColumn("at", F.col("created_at")), "crm_record_id", "service", "at"))
+    b = numbered(people.prepared(marketing_leads.withColumn("at", F.col("captured_at")), "marketing_record_id", "service", "at"))
+    by_no = lambda df: df.withColumn("record", F.col("id")).withColumn("id", F.col("no"))
+    both = people.compared(candidates(a, b), by_no(a), by_no(b), "record", "service", "at")
     service = F.when(F.col("a_service").isNull() | F.col("b_service").isNull(), -1).otherwise((F.lower(F.trim("a_service")) == F.lower(F.trim("b_service"))).cast("int"))
     hours = F.abs(F.unix_micros(F.col("a_at").cast("timestamp")) - F.unix_micros(F.col("b_at").cast("timestamp"))) / F.lit(3_600_000_000)
     gap = F.when(hours <= 3, 3).when(hours <= 24, 2).when(hours <= 72, 1).otherwise(0)
     # Near misses in every field with another mailbox are no match: the fields aren't independent there, as the model takes them to be.
     outright = (F.col("mail_level") != 0) | (F.col("name_level") >= 3) | (F.col("phone_level") == 2) | (F.col("zip_level") == 2)
-    levels = cut(both.filter(outright).withColumn("service_level", service).withColumn("gap_level", gap).select("a", "b", "name_ratio", *FIELDS))
+    levels = cut(both.filter(outright).withColumn("service_level", service).withColumn("gap_level", gap).select("a_record", "b_record", "name_ratio", *FIELDS))
     guess = people.same_person(levels).groupBy(*FIELDS).count().withColumnRenamed("count", "same")
     table = levels.groupBy(*FIELDS).count().join(guess, FIELDS, "left").collect()
     if not table:
-        return levels.select(F.col("a").alias("crm_record_id"), F.col("b").alias("marketing_record_id"), F.lit(None).cast("double").alias("confidence"))
+        return levels.select(F.col("a_record").alias("crm_record_id"), F.col("b_record").alias("marketing_record_id"), F.lit(None).cast("double").alias("confidence"))
     counts = np.array([r["count"] for r in table], float)
     start = np.clip(np.array([r["same"] or 0 for r in table]) / counts, 0.02, 0.98)
     posterior = fit_levels(np.array([[r[f] for f in FIELDS] for r in table]), counts, start)
     learned = levels.sparkSession.createDataFrame([(*[int(r[f]) for f in FIELDS], float(p)) for r, p in zip(table, posterior)], ", ".join(f"{f} int" for f in FIELDS) + ", confidence double")
-    return levels.join(F.broadcast(learned), FIELDS).filter(F.col("confidence") >= least).select(F.col("a").alias("crm_record_id"), F.col("b").alias("marketing_record_id"), "confidence")
+    return levels.join(F.broadcast(learned), FIELDS).filter(F.col("confidence") >= least).select(F.col("a_record").alias("crm_record_id"), F.col("b_record").alias("marketing_record_id"), "confidence")
