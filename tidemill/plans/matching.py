@@ -44,7 +44,7 @@ def links(t: Tables) -> DataFrame:
     """Resolved links."""
     found = exact(t)
     # The cut keeps Spark from merging the two filters, which would score every candidate.
-    return K.resolved(found, K.scored(cut(K.plausible(K.fuzzy_candidates(K.loose(t.crm_leads), K.loose(t.marketing_leads), found)))))
+    return K.resolved(found, K.scored(cut(K.plausible(K.fuzzy_candidates(K.loose(t.crm_leads), K.loose(t.marketing_leads), found))), loosened=True))
 
 
 _KEYS = "name_norm, email_norm, phone_norm, zip_norm"
@@ -97,7 +97,7 @@ _SCORES = ["name_similarity", "email_similarity", "phone_similarity", "zip_simil
 @R.query("fuzzy_scored", f"{_SCORED} SELECT crm_record_id, marketing_record_id, CAST(evidence_count AS BIGINT) AS evidence_count, {', '.join(map(_ROUND, _SCORES))} FROM scored")
 def fuzzy_scored(t: Tables) -> DataFrame:
     """G05."""
-    return K.scored(K.fuzzy_candidates(t.crm_leads, t.marketing_leads, exact(t))).select("crm_record_id", "marketing_record_id", "evidence_count", *[rounded(F.col(c)).alias(c) for c in _SCORES])
+    return K.scored(K.fuzzy_candidates(K.loose(t.crm_leads), K.loose(t.marketing_leads), exact(t)), loosened=True).select("crm_record_id", "marketing_record_id", "evidence_count", *[rounded(F.col(c)).alias(c) for c in _SCORES])
 
 
 @R.query("resolved_matches", f"{_SCORED} SELECT * REPLACE ({_ROUND('match_score')}) FROM resolved")
