@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import people
-from tidemill.session import cut
+from tidemill.session import cut, release
 
 #: Days within which two records may belong to one enquiry.
 WITHIN_DAYS = 6
@@ -39,21 +39,27 @@ def fit_levels(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, roun
 
 
 def numbered(records: DataFrame) -> DataFrame:
-    """Records with a time, and a number `no` each."""
-    return cut(records.filter(F.col("at").isNotNull()).withColumn("no", F.monotonically_increasing_id()))
+    """Records with a time, a number `no` each, their marks and keys."""
+    return cut(people.near_keys(people.with_marks(records.filter(F.col("at").isNotNull()))))
+
+
+#: False only for two records with another mailbox that agree in no field outright: their names don't agree but for spelling, nor are phone or zip equal.
+OUTRIGHT_MAY = f"(a_v IS NULL OR b_v IS NULL OR {people.MAILS_MAY} OR a_phone = b_phone OR a_zip = b_zip OR {people.NAMES_AGREE})"
 
 
 def candidates(crm: DataFrame, marketing: DataFrame, tile: int = people.TILE) -> DataFrame:
-    """Distinct (a, b), numbers of all records of the two numbered tables that share a key of any pass and lie within WITHIN_DAYS of each other; the same for any tile.
+    """Distinct (a, b), numbers of all records of the two numbered tables that share a key of any pass, lie within WITHIN_DAYS of each other and, by their marks, may agree in a field outright.
 
-    The passes are those of people.near_keys, each met only within neighbouring spans of WITHIN_DAYS: a span is part of the key. No block is capped, see people.meet.
+    The passes are those of people.near_keys, each met within spans of four times WITHIN_DAYS: a span is part of the key, and a record of the second table stands in every span that
+    it is near to. No block is capped, see people.meet; the result is the same for any tile.
     """
     width = WITHIN_DAYS * 86_400_000_000
     at = F.unix_micros(F.col("at").cast("timestamp"))
-    span = F.floor(at / F.lit(width))
-    keyed = lambda df, of, spans: people.near_keys(df.withColumns({"id": F.col("no"), "at": at, "span": spans}), "at", "span").select("key", F.col("id").alias("no"), F.lit(of).alias("of"), "at", F.explode("span").alias("span"))
-    rows = keyed(crm, 0, F.array(span)).unionByName(keyed(marketing, 1, F.array(span - 1, span, span + 1))).select(F.xxhash64("key", "span").alias("key"), "no", "of", "at")
-    return people.meet(rows, f"abs(a_at - b_at) <= {width}", left="of = 0", right="of = 1", tile=tile)
+    span = lambda t: F.floor(t / F.lit(4 * width))
+    marks = [F.col("mail_mark").alias("v"), *people._MARKS, F.when(F.col("phone").isNotNull(), F.xxhash64("phone")).alias("phone"), F.col("zip").cast("int").alias("zip")]
+    of = lambda df, n, spans: df.withColumn("key", F.explode("keys")).select("key", "no", F.lit(n).alias("of"), at.alias("at"), *marks, F.explode(spans).alias("span"))
+    rows = of(crm, 0, F.array(span(at))).unionByName(of(marketing, 1, F.array_distinct(F.array(span(at - width), span(at + width)))))
+    return people.meet(rows.withColumn("key", F.xxhash64("key", "span")).drop("span"), f"abs(a_at - b_at) <= {width} AND {OUTRIGHT_MAY}", left="of = 0", right="of = 1", tile=tile)
 
 
 def match_records(crm_leads: DataFrame, marketing_leads: DataFrame, least: float = 0.5) -> DataFrame:
@@ -65,7 +71,9 @@ def match_records(crm_leads: DataFrame, marketing_leads: DataFrame, least: float
     a = numbered(people.prepared(crm_leads.withColumn("at", F.col("created_at")), "crm_record_id", "service", "at"))
     b = numbered(people.prepared(marketing_leads.withColumn("at", F.col("captured_at")), "marketing_record_id", "service", "at"))
     by_no = lambda df: df.withColumn("record", F.col("id")).withColumn("id", F.col("no"))
-    both = people.compared(candidates(a, b), by_no(a), by_no(b), "record", "service", "at")
+    pairs = cut(candidates(a, b))
+    release(pairs.sparkSession)
+    both = people.compared(pairs, by_no(a), by_no(b), "record", "service", "at", *people._MARKS)
     service = F.when(F.col("a_service").isNull() | F.col("b_service").isNull(), -1).otherwise((F.lower(F.trim("a_service")) == F.lower(F.trim("b_service"))).cast("int"))
     hours = F.abs(F.unix_micros(F.col("a_at").cast("timestamp")) - F.unix_micros(F.col("b_at").cast("timestamp"))) / F.lit(3_600_000_000)
     gap = F.when(hours <= 3, 3).when(hours <= 24, 2).when(hours <= 72, 1).otherwise(0)
